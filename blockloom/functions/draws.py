@@ -28,19 +28,18 @@ def sort_draw_bucket(draw: Column, buckets: int) -> Column:
     return F.shiftright(draw, SORT_DRAW_BITS - bits)
 
 
-def digest_pool(stream: Column, n: Column) -> Column:
-    """Enough digests for ``n`` positions: each holds four 32-bit draws."""
-    return F.when(n <= 0, F.array().cast("array<string>")).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), F.floor((n - 1) / 4).cast("int")),
-            lambda j: F.md5(F.concat_ws("|", stream, j.cast("string"))),
-        )
-    )
+def draws(stream: Column, n: Column) -> Column:
+    """One draw per position ``0 … n-1``: eight hex digits, whose text order is their number order.
 
+    A digest holds four draws, so hashing is paid once per four positions.
+    """
 
-def pool_draw(pool: Column, i: Column) -> Column:
-    """The draw of position ``i``: eight hex digits, whose text order is their number order."""
-    return F.substr(F.get(pool, F.shiftright(i, 2)), F.lit(1) + F.pmod(i, F.lit(4)) * 8, F.lit(8))
+    def four(j: Column) -> Column:
+        digest = F.md5(F.concat_ws("|", stream, j.cast("string")))
+        return F.transform(F.array(*[F.lit(k) for k in (1, 9, 17, 25)]), lambda at: F.substr(digest, at, F.lit(8)))
+
+    groups = F.sequence(F.lit(0), F.floor(F.greatest(n - 1, F.lit(0)) / 4).cast("int"))
+    return F.slice(F.flatten(F.transform(groups, four)), F.lit(1), n)
 
 
 def threshold(p: float) -> str:
@@ -52,6 +51,6 @@ def threshold(p: float) -> str:
 
 
 def uniform_id(stream: Column, i: Column, n: int) -> Column:
-    """A uniform id in ``[0, n)`` for position ``i``, independent of ``pool_draw``."""
+    """A uniform id in ``[0, n)`` for position ``i``, independent of ``draws``."""
     digest = F.md5(F.concat_ws("|", stream, F.lit("id"), i.cast("string")))
     return F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), F.lit(n)).cast("int")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import round_up
-from ..functions.draws import digest_pool, pool_draw, stream_id, threshold, uniform_id
+from ..functions.draws import draws, stream_id, threshold, uniform_id
 from ..schemas import IGNORE_LABEL, SPECIALS
 
 BATCH = ("split", "rank", "batch_idx")
@@ -45,25 +45,6 @@ def labels_clm(df: DataFrame, pad_id: int = SPECIALS["pad"]) -> DataFrame:
     return df.withColumn("labels", labels)
 
 
-def mlm_actions(special: Column, stream: Column, p: float) -> Column:
-    """What happens to each position: nothing, mask token, random id, or kept but predicted."""
-    pool = digest_pool(stream, F.size(special))
-    to_mask, to_random, to_keep = threshold(MASK_SHARE * p), threshold((MASK_SHARE + RANDOM_SHARE) * p), threshold(p)
-
-    def action(pair: Column) -> Column:
-        draw = pair["draw"]
-        return (
-            F.when((pair["special"] != 0) | (draw >= to_keep), NONE)
-            .when(draw < to_mask, MASK)
-            .when(draw < to_random, RANDOM)
-            .otherwise(KEEP)
-        )
-
-    draws = F.transform(F.sequence(F.lit(0), F.size(special) - 1), lambda i: pool_draw(pool, i))
-    pairs = F.arrays_zip(special.alias("special"), draws.alias("draw"))
-    return F.when(F.size(special) == 0, F.array().cast("array<int>")).otherwise(F.transform(pairs, action))
-
-
 def labels_mlm(
     df: DataFrame,
     vocab_size: int,
@@ -76,20 +57,38 @@ def labels_mlm(
     """Masked objective: add ``labels`` and ``actions`` and replace ids, one draw per position.
 
     Draws depend on seed, epoch, block and position only: an epoch can be rebuilt exactly, two
-    epochs differ, and no row moves.
+    epochs differ, and no row moves. Ids, special marks and draws go through one pass over
+    the zipped arrays; referring to an array from inside the function would rebuild it for
+    every position.
     """
     stream = stream_id(seed, epoch, *[F.col(k) for k in keys])
-    acted = df.withColumn("actions", mlm_actions(F.col("special_tokens_mask"), stream, p))
-
-    def label(x: Column, i: Column) -> Column:
-        return F.when(F.get("actions", i) != NONE, x).otherwise(F.lit(IGNORE_LABEL))
+    special = F.col("special_tokens_mask")
+    to_mask, to_random, to_keep = (
+        F.lit(threshold(share * p)) for share in (MASK_SHARE, MASK_SHARE + RANDOM_SHARE, 1.0)
+    )
 
-    def replace(x: Column, i: Column) -> Column:
-        act = F.get("actions", i)
-        return F.when(act == MASK, F.lit(mask_id)).when(act == RANDOM, uniform_id(stream, i, vocab_size)).otherwise(x)
+    def cell(c: Column, i: Column) -> Column:
+        drawn = (c["special"] == 0) & (c["draw"] < to_keep)
+        action = (
+            F.when(~drawn, NONE).when(c["draw"] < to_mask, MASK).when(c["draw"] < to_random, RANDOM).otherwise(KEEP)
+        )
+        new_id = (
+            F.when(~drawn | (c["draw"] >= to_random), c["id"])
+            .when(c["draw"] < to_mask, F.lit(mask_id))
+            .otherwise(uniform_id(stream, i, vocab_size))
+        )
+        label = F.when(drawn, c["id"]).otherwise(F.lit(IGNORE_LABEL))
+        return F.struct(new_id.alias("id"), label.alias("label"), action.alias("action"))
 
-    return acted.withColumn("labels", F.transform("input_ids", label)).withColumn(
-        "input_ids", F.transform("input_ids", replace)
+    zipped = F.arrays_zip(
+        F.col("input_ids").alias("id"), special.alias("special"), draws(stream, F.size(special)).alias("draw")
+    )
+    return (
+        df.withColumn("__cells", F.transform(zipped, cell))
+        .withColumn("input_ids", F.col("__cells.id"))
+        .withColumn("labels", F.col("__cells.label"))
+        .withColumn("actions", F.col("__cells.action"))
+        .drop("__cells")
     )
 
 

@@ -27,15 +27,18 @@ def default_buckets(spark: SparkSession) -> int:
     return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_BUCKETS))
 
 
-def upper_bound(key: Column, sorted_values: Column, max_size: int | None = None) -> Column:
-    """How many entries of an ascending array are ``<= key`` (a binary search in the JVM)."""
+def upper_bound(key: Column, sorted_values: Column, max_size: int | None = None, field: str | None = None) -> Column:
+    """How many entries of an ascending array are ``<= key`` (a binary search in the JVM).
+
+    ``field`` names the key inside an array of structs.
+    """
     steps = [s for s in _STEPS if max_size is None or s <= max_size]
 
     def advance(found: Column, step: Column) -> Column:
         ahead = found + step
-        return F.when(
-            (ahead <= F.size(sorted_values)) & (F.get(sorted_values, ahead - 1) <= key), ahead
-        ).otherwise(found)
+        entry = F.get(sorted_values, ahead - 1)
+        value = entry[field] if field else entry
+        return F.when((ahead <= F.size(sorted_values)) & (value <= key), ahead).otherwise(found)
 
     if not steps:
         return F.lit(0)

@@ -107,7 +107,7 @@ def assign_batches(
     bound = sum(n // batch_rows + n_shards + len(cuts) + 1 for n in totals.values())
     if bound <= MAX_BROADCAST_STARTS:
         starts = F.broadcast(starts)
-    hit = F.get(F.col("__starts"), upper_bound(F.col(key), F.col("__starts.first_key")) - 1)
+    hit = F.get(F.col("__starts"), upper_bound(F.col(key), F.col("__starts"), field="first_key") - 1)
     return (
         df.withColumn(BUCKET, bucket_expr(F.col(key), cuts))
         .join(starts, ["split", BUCKET])
@@ -154,12 +154,17 @@ def pack(
     skip = (lo - F.col("__start") + 1).cast("int")
     take = (hi - lo).cast("int")
     cut = pieces.select(
-        *by, "blk", F.struct(lo.alias("lo"), *[F.slice(c, skip, take).alias(c) for c in columns]).alias("__piece")
+        *by,
+        "blk",
+        take.alias("__take"),
+        F.struct(lo.alias("lo"), *[F.slice(c, skip, take).alias(c) for c in columns]).alias("__piece"),
+    )
+    blocks = cut.groupBy(*by, "blk").agg(
+        F.sort_array(F.collect_list("__piece")).alias("__pieces"), F.sum("__take").alias("__len")
     )
-    blocks = cut.groupBy(*by, "blk").agg(F.array_sort(F.collect_list("__piece")).alias("__pieces"))
-    joined = blocks.select(*by, "blk", *[F.flatten(F.col(f"__pieces.{c}")).alias(c) for c in columns])
     # Only the last block of a batch can be short; it is the first one too iff the batch is short.
-    return joined.filter((F.size(columns[0]) == block_size) | (F.col("blk") == 0))
+    kept = blocks.filter((F.col("__len") == block_size) | (F.col("blk") == 0))
+    return kept.select(*by, "blk", *[F.flatten(F.col(f"__pieces.{c}")).alias(c) for c in columns])
 
 
 def batch_totals(df: DataFrame, n_tokens: str = "n_tokens", by: Sequence[str] = GROUP) -> DataFrame:
