@@ -10,14 +10,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import fixed
-from .ordering import running_sum
+from ..functions.columns import fixed, int_div
+from .ordering import group_value, running_sum
 
 # Aliases that protect an artifact, and the prefix and form of references.
 PROTECTED = ("best", "keep")
 REF_PREFIX = "wandb:"
 ARTIFACT_FORM = "model-%s:%s"
 
+# Iterations of one run that are handled together.
+ITER_RANGE = 65_536
+
 
 def checkpoint_name(step: Column, samples: Column, tokens: Column, loss: Column) -> Column:
     """File name of a snapshot; counters are floats there."""
@@ -33,18 +36,15 @@ def checkpoint_name(step: Column, samples: Column, tokens: Column, loss: Column)
     )
 
 
-def _newest(artifacts: DataFrame) -> DataFrame:
-    # One row per run, combined before the shuffle: no window over a run that saved very often.
-    return artifacts.groupBy("run_id").agg(F.max("iter").alias("__last"))
+def _with_last(artifacts: DataFrame) -> DataFrame:
+    # The largest iteration of the run, also for a run that saved a third of all checkpoints.
+    span = int_div(F.col("iter"), F.lit(ITER_RANGE))
+    return group_value(artifacts, {"__last": (F.max, F.col("iter"))}, ("run_id",), span)
 
 
 def latest_only(artifacts: DataFrame) -> DataFrame:
     """Mark older checkpoints for deletion; the newest of each run stays."""
-    return (
-        artifacts.join(_newest(artifacts), "run_id")
-        .withColumn("delete", F.col("iter") < F.col("__last"))
-        .drop("__last")
-    )
+    return _with_last(artifacts).withColumn("delete", F.col("iter") < F.col("__last")).drop("__last")
 
 
 def retention(artifacts: DataFrame, protected: Sequence[str] = PROTECTED) -> DataFrame:
@@ -99,4 +99,4 @@ def final_aliases(artifacts: DataFrame) -> DataFrame:
     moved = F.when(last, F.array_union("aliases", F.array(F.lit("train_end"), F.lit("latest")))).otherwise(
         F.array_remove("aliases", "latest")
     )
-    return artifacts.join(_newest(artifacts), "run_id").withColumn("aliases", moved).drop("__last")
+    return _with_last(artifacts).withColumn("aliases", moved).drop("__last")

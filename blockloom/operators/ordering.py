@@ -12,7 +12,7 @@ recomputed task always lands on the same answer.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -229,3 +229,22 @@ def previous_value(
         .withColumn(out, F.when(F.col("__rn") == 1, F.col("__carry")).otherwise(F.col("__lag")))
         .drop(BUCKET, "__v", "__rn", "__lag", "__carry")
     )
+
+
+def group_value(
+    df: DataFrame,
+    values: dict[str, tuple[Callable[[Column], Column], Column]],
+    by: Sequence[str],
+    bucket: Column,
+) -> DataFrame:
+    """Add an aggregate of the whole group to each of its rows.
+
+    ``values`` maps a new column to ``(F.max | F.min | F.sum, expression)``. A plain join on
+    ``by`` would send a group to one task; this one goes by ``(by, bucket)``.
+    """
+    src = df.withColumn(BUCKET, bucket.cast("long"))
+    at = [*by, BUCKET]
+    whole = Window.partitionBy(*by)
+    partial = src.groupBy(*at).agg(*[fn(v).alias(f"__s_{n}") for n, (fn, v) in values.items()])
+    total = partial.select(*at, *[fn(F.col(f"__s_{n}")).over(whole).alias(n) for n, (fn, _) in values.items()])
+    return src.join(total, at).drop(BUCKET)

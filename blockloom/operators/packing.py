@@ -19,8 +19,9 @@ from .ordering import BUCKET, bucket_expr, default_buckets, dense_index, running
 
 GROUP = ("split", "shard", "batch")
 
-# About 64 MB of batch starts; above it the lookup becomes a shuffle join.
+# Bounds of the batch lookup: about 64 MB in all, and short lists to search.
 MAX_BROADCAST_STARTS = 2_000_000
+MAX_STARTS_PER_BUCKET = 1024
 
 
 def shard_of(idx: Column, total: Column, n_shards: int) -> Column:
@@ -93,24 +94,25 @@ def assign_batches(
     """Add ``shard`` and ``batch`` to whole documents without moving them.
 
     ``key`` is a unique numeric order key. The lookup table has one row per ``(split, bucket)``
-    holding the batches that begin in it. Its size is known beforehand from the row counts, so
-    it is broadcast below a fixed bound and joined by a shuffle above it.
+    with the batches that begin in it. The row counts tell its size beforehand: within fixed
+    bounds it is broadcast and documents stay where they are; beyond them (very small batches)
+    documents are joined with the narrow index by key.
     """
     totals, cuts = _key_stats(df, key, buckets or default_buckets(df.sparkSession))
-    starts = (
-        _index_narrow(df, key, n_shards, batch_rows, totals, cuts)
-        .groupBy("split", BUCKET + "_k", "shard", "batch")
+    index = _index_narrow(df, key, n_shards, batch_rows, totals, cuts)
+    starts = sum(n // batch_rows + n_shards + len(cuts) + 1 for n in totals.values())
+    if starts > min(MAX_BROADCAST_STARTS, MAX_STARTS_PER_BUCKET * (len(cuts) + 1) * max(len(totals), 1)):
+        return df.join(index.select("split", key, "shard", "batch"), ["split", key])
+    lookup = (
+        index.groupBy("split", BUCKET + "_k", "shard", "batch")
         .agg(F.min(key).alias("first_key"))
         .groupBy("split", F.col(BUCKET + "_k").alias(BUCKET))
         .agg(F.sort_array(F.collect_list(F.struct("first_key", "shard", "batch"))).alias("__starts"))
     )
-    bound = sum(n // batch_rows + n_shards + len(cuts) + 1 for n in totals.values())
-    if bound <= MAX_BROADCAST_STARTS:
-        starts = F.broadcast(starts)
     hit = F.get(F.col("__starts"), upper_bound(F.col(key), F.col("__starts"), field="first_key") - 1)
     return (
         df.withColumn(BUCKET, bucket_expr(F.col(key), cuts))
-        .join(starts, ["split", BUCKET])
+        .join(F.broadcast(lookup), ["split", BUCKET])
         .withColumn("__hit", hit)
         .withColumn("shard", F.col("__hit.shard"))
         .withColumn("batch", F.col("__hit.batch"))

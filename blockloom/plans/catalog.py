@@ -110,9 +110,7 @@ def split_counts(spark, sf):
 def prepared_roundtrip(spark, sf):
     path = scratch_dir(spark, "prepared")
     S.save_prepared(_packed(spark, sf), path)
-    return S.load_prepared(spark, path).select(
-        "split", "shard", "batch", "blk", _text("input_ids").alias("ids"), _text("special_tokens_mask").alias("special")
-    )
+    return _block_view(S.load_prepared(spark, path))
 
 
 def cache_lookup(spark, sf):
@@ -123,7 +121,8 @@ def cache_lookup(spark, sf):
 def corpus_preview(spark, sf):
     keys = P.index_batches(V.doc_keys(spark, sf), "doc_id", SHARDS)
     first = readers.corpus_preview(keys, 2).select("split", "row_idx", "doc_id")
-    return first.join(V.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    # Two rows per split: the texts stay in place and are filtered by the broadcast keys.
+    return V.table(spark, sf, "documents").select("doc_id", "text").join(F.broadcast(first), "doc_id")
 
 
 def corpus_stats(spark, sf):
@@ -214,25 +213,26 @@ def shard_ranges(spark, sf):
     )
 
 
-def _block_view(df: DataFrame) -> DataFrame:
+def _block_view(df: DataFrame, *more: str) -> DataFrame:
     return df.select(
         "split",
         "shard",
         "batch",
         "blk",
-        "block_idx",
+        *more,
         _text("input_ids").alias("ids"),
         _text("special_tokens_mask").alias("special"),
     )
 
 
 def pack_blocks(spark, sf):
-    return _block_view(P.number_blocks(_packed(spark, sf), _totals(spark, sf), BLOCK))
+    return _block_view(_packed(spark, sf))
 
 
 def pack_blocks_short(spark, sf):
+    """Short batches, with the dense number of each block in its split."""
     blocks = _packed(spark, sf, SHORT_BLOCK, SHORT_ROWS)
-    return _block_view(P.number_blocks(blocks, _totals(spark, sf, SHORT_ROWS), SHORT_BLOCK))
+    return _block_view(P.number_blocks(blocks, _totals(spark, sf, SHORT_ROWS), SHORT_BLOCK), "block_idx")
 
 
 def pack_dropped(spark, sf):
@@ -483,10 +483,7 @@ def stream_pack(spark, sf):
     out, checkpoint = scratch_dir(spark, "stream-blocks"), scratch_dir(spark, "stream-state")
     query = live.stream_pack(docs, _vocab(spark, sf), out, checkpoint, BLOCK, SHARDS, ROWS, key="doc_id")
     query.awaitTermination()
-    blocks = spark.read.parquet(out)
-    return blocks.select(
-        "split", "shard", "batch", "blk", _text("input_ids").alias("ids"), _text("special_tokens_mask").alias("special")
-    )
+    return _block_view(spark.read.parquet(out))
 
 
 def stream_totals(spark, sf):

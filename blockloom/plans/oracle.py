@@ -299,7 +299,7 @@ WITH {DOCS} SELECT split, doc_id, row_number() OVER (PARTITION BY split ORDER BY
 WITH {DOCS}, {places(SHORT_ROWS)}
 SELECT split, shard, batch, min(row_idx) AS first_row, max(row_idx) AS last_row, count(*) AS docs
 FROM places GROUP BY split, shard, batch""",
-        "pack_blocks": packed_view(BLOCK, ROWS, True),
+        "pack_blocks": packed_view(BLOCK, ROWS, False),
         "pack_blocks_short": packed_view(SHORT_BLOCK, SHORT_ROWS, True),
         "pack_dropped": f"""
 WITH {totals(ROWS)}

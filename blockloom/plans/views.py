@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import int_div, round_up
-from ..operators.ordering import dense_index
+from ..operators.artifacts import ITER_RANGE
+from ..operators.ordering import dense_index, group_value
 from ..sources.readers import spread
 
 
@@ -73,17 +74,16 @@ def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("o_custkey") % 3).alias("cache_id"),
     )
     indexed = dense_index(rows, F.col("created_us"), by=("run_id",), tie=F.col("artifact_id"), out="iter")
-    per_run = indexed.groupBy("run_id").agg(
-        F.max("iter").alias("__last"), F.min(F.struct("val_loss", "artifact_id"))["artifact_id"].alias("__best")
-    )
+    per_run = {"__last": (F.max, F.col("iter")), "__best": (F.min, F.struct("val_loss", "artifact_id"))}
+    known = group_value(indexed, per_run, ("run_id",), int_div(F.col("iter"), F.lit(ITER_RANGE)))
     tags = F.array_compact(
         F.array(
             F.when(F.col("iter") == F.col("__last"), "latest"),
-            F.when(F.col("artifact_id") == F.col("__best"), "best"),
+            F.when(F.col("artifact_id") == F.col("__best.artifact_id"), "best"),
             F.when(F.col("kept"), "keep"),
         )
     )
-    return indexed.join(per_run, "run_id").withColumn("aliases", tags).drop("kept", "__last", "__best")
+    return known.withColumn("aliases", tags).drop("kept", "__last", "__best")
 
 
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
