@@ -34,12 +34,10 @@ def draws(stream: Column, n: Column) -> Column:
     A digest holds four draws, so hashing is paid once per four positions.
     """
 
-    def four(j: Column) -> Column:
-        digest = F.md5(F.concat_ws("|", stream, j.cast("string")))
-        return F.transform(F.array(*[F.lit(k) for k in (1, 9, 17, 25)]), lambda at: F.substr(digest, at, F.lit(8)))
-
     groups = F.sequence(F.lit(0), F.floor(F.greatest(n - 1, F.lit(0)) / 4).cast("int"))
-    return F.slice(F.flatten(F.transform(groups, four)), F.lit(1), n)
+    digests = F.transform(groups, lambda j: F.md5(F.concat_ws("|", stream, j.cast("string"))))
+    four = F.transform(digests, lambda d: F.array(*[F.substring(d, at, 8) for at in (1, 9, 17, 25)]))
+    return F.slice(F.flatten(four), F.lit(1), n)
 
 
 def threshold(p: float) -> str:

@@ -23,6 +23,9 @@ GROUP = ("split", "shard", "batch")
 MAX_BROADCAST_STARTS = 2_000_000
 MAX_STARTS_PER_BUCKET = 1024
 
+# Tokens that are gathered in one piece before they are cut into blocks.
+SPAN_TOKENS = 1 << 17
+
 
 def shard_of(idx: Column, total: Column, n_shards: int) -> Column:
     """Contiguous shards, the first ``total % n`` of them one row longer; never more than rows."""
@@ -131,10 +134,15 @@ def pack(
 
     The unfilled tail of a batch is dropped, except that a batch shorter than one block gives one
     short block. Returns ``by``, ``blk`` and the cut columns; all of them are cut alike.
+
+    Pieces of documents are gathered per span of many blocks and the span is cut: documents are
+    rarely cut twice, and a span stays at a few hundred kilobytes, however large the batch is.
     """
     if block_size <= 0:
         raise ValueError("block_size must be positive")
     size = F.lit(block_size).cast("long")
+    span = max(1, SPAN_TOKENS // block_size)
+    reach = F.lit(block_size * span).cast("long")
     running = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     placed = (
         df.select(*by, order, *columns)
@@ -149,24 +157,35 @@ def pack(
         *columns,
         "__start",
         "__end",
-        F.explode(F.sequence(int_div(F.col("__start"), size), int_div(F.col("__end") - 1, size))).alias("blk"),
+        F.explode(F.sequence(int_div(F.col("__start"), reach), int_div(F.col("__end") - 1, reach))).alias("__span"),
     )
-    lo = F.greatest(F.col("__start"), F.col("blk") * size)
-    hi = F.least(F.col("__end"), (F.col("blk") + 1) * size)
+    lo = F.greatest(F.col("__start"), F.col("__span") * reach)
+    hi = F.least(F.col("__end"), (F.col("__span") + 1) * reach)
     skip = (lo - F.col("__start") + 1).cast("int")
     take = (hi - lo).cast("int")
     cut = pieces.select(
         *by,
-        "blk",
+        "__span",
         take.alias("__take"),
         F.struct(lo.alias("lo"), *[F.slice(c, skip, take).alias(c) for c in columns]).alias("__piece"),
     )
-    blocks = cut.groupBy(*by, "blk").agg(
+    joined = cut.groupBy(*by, "__span").agg(
         F.sort_array(F.collect_list("__piece")).alias("__pieces"), F.sum("__take").alias("__len")
     )
-    # Only the last block of a batch can be short; it is the first one too iff the batch is short.
-    kept = blocks.filter((F.col("__len") == block_size) | (F.col("blk") == 0))
-    return kept.select(*by, "blk", *[F.flatten(F.col(f"__pieces.{c}")).alias(c) for c in columns])
+    # Only the last block of a batch can be short; it is kept iff it is the only one.
+    blocks = F.when(F.col("__len") >= size, int_div(F.col("__len"), size)).otherwise(F.lit(1)).cast("int")
+    kept = joined.filter((F.col("__len") >= size) | (F.col("__span") == 0))
+    flat = kept.select(
+        *by, "__span", blocks.alias("__blocks"), *[F.flatten(F.col(f"__pieces.{c}")).alias(c) for c in columns]
+    )
+    numbered = flat.select(
+        *by, "__span", *columns, F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("__k")
+    )
+    return numbered.select(
+        *by,
+        (F.col("__span") * span + F.col("__k")).alias("blk"),
+        *[F.slice(c, F.col("__k") * block_size + 1, block_size).alias(c) for c in columns],
+    )
 
 
 def batch_totals(df: DataFrame, n_tokens: str = "n_tokens", by: Sequence[str] = GROUP) -> DataFrame:
