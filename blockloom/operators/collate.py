@@ -57,9 +57,8 @@ def labels_mlm(
     """Masked objective: add ``labels`` and ``actions`` and replace ids, one draw per position.
 
     Draws depend on seed, epoch, block and position only: an epoch can be rebuilt exactly, two
-    epochs differ, and no row moves. Ids, special marks and draws go through one pass over
-    the zipped arrays; referring to an array from inside the function would rebuild it for
-    every position.
+    epochs differ, and no row moves. Arrays enter the functions zipped; one that is referred to
+    from inside would be rebuilt for every position.
     """
     stream = stream_id(seed, epoch, *[F.col(k) for k in keys])
     special = F.col("special_tokens_mask")
@@ -67,28 +66,26 @@ def labels_mlm(
         F.lit(threshold(share * p)) for share in (MASK_SHARE, MASK_SHARE + RANDOM_SHARE, 1.0)
     )
 
-    def cell(c: Column, i: Column) -> Column:
-        drawn = (c["special"] == 0) & (c["draw"] < to_keep)
-        action = (
-            F.when(~drawn, NONE).when(c["draw"] < to_mask, MASK).when(c["draw"] < to_random, RANDOM).otherwise(KEEP)
-        )
-        new_id = (
-            F.when(~drawn | (c["draw"] >= to_random), c["id"])
-            .when(c["draw"] < to_mask, F.lit(mask_id))
+    def act(c: Column) -> Column:
+        untouched = (c["draw"] >= to_keep) | (c["special"] != 0)
+        return F.when(untouched, NONE).when(c["draw"] < to_mask, MASK).when(c["draw"] < to_random, RANDOM).otherwise(KEEP)
+
+    def label(x: Column, action: Column) -> Column:
+        return F.when(action == NONE, F.lit(IGNORE_LABEL)).otherwise(x)
+
+    def replace(c: Column, i: Column) -> Column:
+        stays = (c["action"] == NONE) | (c["action"] == KEEP)
+        return (
+            F.when(stays, c["id"])
+            .when(c["action"] == MASK, F.lit(mask_id))
             .otherwise(uniform_id(stream, i, vocab_size))
         )
-        label = F.when(drawn, c["id"]).otherwise(F.lit(IGNORE_LABEL))
-        return F.struct(new_id.alias("id"), label.alias("label"), action.alias("action"))
 
-    zipped = F.arrays_zip(
-        F.col("input_ids").alias("id"), special.alias("special"), draws(stream, F.size(special)).alias("draw")
-    )
-    return (
-        df.withColumn("__cells", F.transform(zipped, cell))
-        .withColumn("input_ids", F.col("__cells.id"))
-        .withColumn("labels", F.col("__cells.label"))
-        .withColumn("actions", F.col("__cells.action"))
-        .drop("__cells")
+    marked = F.arrays_zip(special.alias("special"), draws(stream, F.size(special)).alias("draw"))
+    acted = df.withColumn("actions", F.transform(marked, act))
+    changed = F.arrays_zip(F.col("input_ids").alias("id"), F.col("actions").alias("action"))
+    return acted.withColumn("labels", F.zip_with("input_ids", "actions", label)).withColumn(
+        "input_ids", F.transform(changed, replace)
     )
 
 

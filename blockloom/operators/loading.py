@@ -46,13 +46,22 @@ def limit_eval(df: DataFrame, samples: int, batch: int) -> DataFrame:
     return df.filter(F.col("batch_idx") < samples // batch)
 
 
-def shard_by_rank(df: DataFrame, world: int, pos: str = "pos", by: Sequence[str] = ("split",)) -> DataFrame:
+def shard_by_rank(
+    df: DataFrame,
+    world: int,
+    pos: str = "pos",
+    by: Sequence[str] = ("split",),
+    counts: DataFrame | None = None,
+) -> DataFrame:
     """Deal positions to ranks in turn; the first rows are repeated so that ranks are equal.
 
     A row repeats itself at ``pos + N, pos + 2N …`` below the padded length, which covers sets
-    smaller than the world as well. The counts have one row per split.
+    smaller than the world as well. ``counts`` (``by``, ``n``) has one row per split; without
+    it, the rows are counted.
     """
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    if counts is None:
+        counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.select(*by, F.col("n").alias("__n"))
     padded = int_div(F.col("__n") + (world - 1), F.lit(world)) * world
     dealt = (
         df.join(F.broadcast(counts), list(by))

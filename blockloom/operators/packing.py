@@ -246,6 +246,11 @@ def index_blocks(totals: DataFrame, block_size: int) -> DataFrame:
     )
 
 
+def block_counts(totals: DataFrame, block_size: int) -> DataFrame:
+    """Blocks per split, as ``n``."""
+    return totals.groupBy("split").agg(F.sum(blocks_in(F.col("tokens"), block_size)).alias("n"))
+
+
 def number_blocks(blocks: DataFrame, totals: DataFrame, block_size: int) -> DataFrame:
     """Add ``block_idx`` to packed blocks, joined on the keys that already place them."""
     first = _first_block(totals, block_size).select(*GROUP, "__first")

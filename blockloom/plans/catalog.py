@@ -17,7 +17,7 @@ from ..operators import packing as P
 from ..operators import reports as R
 from ..operators import tokens as T
 from ..schemas import SPECIALS
-from ..session import scratch_dir
+from ..session import scratch_dir, stored
 from ..sources import prepared as S
 from ..sources import readers
 from ..streaming import live
@@ -47,7 +47,7 @@ def _text(array: str) -> Column:
 
 
 def _vocab(spark: SparkSession, sf: str):
-    return T.load_vocab(T.build_vocab(V.docs(spark, sf), VOCAB_SIZE))
+    return T.load_vocab(T.build_vocab(V.spread_docs(spark, sf), VOCAB_SIZE))
 
 
 def _packed(spark: SparkSession, sf: str, block: int = BLOCK, rows: int = ROWS) -> DataFrame:
@@ -55,23 +55,25 @@ def _packed(spark: SparkSession, sf: str, block: int = BLOCK, rows: int = ROWS)
 
 
 def _totals(spark: SparkSession, sf: str, rows: int = ROWS) -> DataFrame:
-    placed = P.assign_batches(V.docs(spark, sf), "doc_id", SHARDS, rows)
+    """Token counts per batch; stored, so that the texts are read once."""
+    placed = readers.spread(P.assign_batches(V.docs(spark, sf), "doc_id", SHARDS, rows), "doc_id")
     # Start and end ids count as tokens.
     counted = placed.select(*P.GROUP, (T.count_tokens(F.col("text")) + 2).alias("n_tokens"))
-    return P.batch_totals(counted)
+    return stored(P.batch_totals(counted), "totals")
 
 
-def _blocks(spark: SparkSession, sf: str, block: int = BLOCK, rows: int = ROWS) -> DataFrame:
-    return P.index_blocks(_totals(spark, sf, rows), block)
+def _blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return P.index_blocks(_totals(spark, sf), BLOCK)
 
 
-def _train_positions(spark: SparkSession, sf: str) -> DataFrame:
-    train = _blocks(spark, sf).filter(F.col("split") == "train")
-    return L.shuffle(train, SEED, EPOCH)
+def _of(split: str) -> Column:
+    return F.col("split") == split
 
 
-def _dealt(spark: SparkSession, sf: str) -> DataFrame:
-    return L.batches(L.shard_by_rank(_train_positions(spark, sf), WORLD), MICRO)
+def _shuffled_ranks(totals: DataFrame, block: int) -> DataFrame:
+    """Training blocks in an epoch's order, dealt to the ranks."""
+    placed = L.shuffle(P.index_blocks(totals, block).filter(_of("train")), SEED, EPOCH)
+    return L.shard_by_rank(placed, WORLD, counts=P.block_counts(totals, block))
 
 
 # --- sources ---------------------------------------------------------------------------------
@@ -104,7 +106,7 @@ def named_splits(spark, sf):
 
 
 def split_counts(spark, sf):
-    return R.split_counts(V.doc_keys(spark, sf))
+    return R.split_counts(V.docs(spark, sf))
 
 
 def prepared_roundtrip(spark, sf):
@@ -119,7 +121,7 @@ def cache_lookup(spark, sf):
 
 
 def corpus_preview(spark, sf):
-    keys = P.index_batches(V.doc_keys(spark, sf), "doc_id", SHARDS)
+    keys = P.index_batches(V.docs(spark, sf), "doc_id", SHARDS)
     first = readers.corpus_preview(keys, 2).select("split", "row_idx", "doc_id")
     # Two rows per split: the texts stay in place and are filtered by the broadcast keys.
     return V.table(spark, sf, "documents").select("doc_id", "text").join(F.broadcast(first), "doc_id")
@@ -144,12 +146,12 @@ def _token_view(df: DataFrame) -> DataFrame:
 
 
 def tokenize_native(spark, sf):
-    return _token_view(T.tokenize(V.docs(spark, sf), _vocab(spark, sf)))
+    return _token_view(T.tokenize(V.spread_docs(spark, sf), _vocab(spark, sf)))
 
 
 def tokenize_file(spark, sf):
     """A serialized word tokenizer made of the same vocabulary; equals the native back end."""
-    return _token_view(T.tokenize_with_file(V.docs(spark, sf), word_tokenizer_json(_vocab(spark, sf))))
+    return _token_view(T.tokenize_with_file(V.spread_docs(spark, sf), word_tokenizer_json(_vocab(spark, sf))))
 
 
 def word_tokenizer_json(vocab) -> str:
@@ -170,11 +172,11 @@ def word_tokenizer_json(vocab) -> str:
 
 
 def tokenize_truncated(spark, sf):
-    return _token_view(T.tokenize(V.docs(spark, sf), _vocab(spark, sf), truncate=True, max_len=64))
+    return _token_view(T.tokenize(V.spread_docs(spark, sf), _vocab(spark, sf), truncate=True, max_len=64))
 
 
 def special_mask(spark, sf):
-    tokens = T.tokenize(V.docs(spark, sf), _vocab(spark, sf), eos=None)
+    tokens = T.tokenize(V.spread_docs(spark, sf), _vocab(spark, sf), eos=None)
     specials = F.aggregate("special_tokens_mask", F.lit(0), lambda a, x: a + x)
     return tokens.select(
         "doc_id",
@@ -185,11 +187,11 @@ def special_mask(spark, sf):
 
 
 def vocab_topk(spark, sf):
-    return T.build_vocab(V.docs(spark, sf), VOCAB_SIZE)
+    return T.build_vocab(V.spread_docs(spark, sf), VOCAB_SIZE)
 
 
 def vocab_check(spark, sf):
-    return T.vocab_check(T.tokenize(V.docs(spark, sf), _vocab(spark, sf)), MODEL_VOCAB)
+    return T.vocab_check(T.tokenize(V.spread_docs(spark, sf), _vocab(spark, sf)), MODEL_VOCAB)
 
 
 def round_up_query(spark, sf):
@@ -202,12 +204,12 @@ def round_up_query(spark, sf):
 
 
 def row_index(spark, sf):
-    return P.index_batches(V.doc_keys(spark, sf), "doc_id", SHARDS).select("split", "doc_id", "row_idx")
+    return P.index_batches(V.docs(spark, sf), "doc_id", SHARDS).select("split", "doc_id", "row_idx")
 
 
 def shard_ranges(spark, sf):
     return (
-        P.index_batches(V.doc_keys(spark, sf), "doc_id", SHARDS, SHORT_ROWS)
+        P.index_batches(V.docs(spark, sf), "doc_id", SHARDS, SHORT_ROWS)
         .groupBy("split", "shard", "batch")
         .agg(F.min("row_idx").alias("first_row"), F.max("row_idx").alias("last_row"), F.count("*").alias("docs"))
     )
@@ -247,7 +249,8 @@ def block_lengths(spark, sf):
 
 
 def shuffle_epoch(spark, sf):
-    return _train_positions(spark, sf).select("split", "block_idx", "pos")
+    train = _blocks(spark, sf).filter(_of("train"))
+    return L.shuffle(train, SEED, EPOCH).select("split", "block_idx", "pos")
 
 
 def micro_batches(spark, sf):
@@ -256,8 +259,9 @@ def micro_batches(spark, sf):
 
 
 def _val_batches(spark, sf):
-    val = _blocks(spark, sf).filter(F.col("split") == "val").withColumn("pos", F.col("block_idx"))
-    return L.batches(L.shard_by_rank(val, WORLD), MICRO)
+    totals = _totals(spark, sf)
+    val = P.index_blocks(totals, BLOCK).filter(_of("val")).withColumn("pos", F.col("block_idx"))
+    return L.batches(L.shard_by_rank(val, WORLD, counts=P.block_counts(totals, BLOCK)), MICRO)
 
 
 def eval_limit(spark, sf):
@@ -265,11 +269,12 @@ def eval_limit(spark, sf):
 
 
 def rank_shards(spark, sf):
-    return L.shard_by_rank(_train_positions(spark, sf), WORLD).select("block_idx", "rank", "pos", "is_pad")
+    return _shuffled_ranks(_totals(spark, sf), BLOCK).select("block_idx", "rank", "pos", "is_pad")
 
 
 def optimizer_steps(spark, sf):
-    return L.check_steps(L.accumulate(_dealt(spark, sf), ACCUM), MICRO * WORLD * ACCUM)
+    dealt = L.batches(_shuffled_ranks(_totals(spark, sf), BLOCK), MICRO)
+    return L.check_steps(L.accumulate(dealt, ACCUM), MICRO * WORLD * ACCUM)
 
 
 def due_steps(spark, sf):
@@ -284,12 +289,10 @@ def due_steps(spark, sf):
 
 def collate_pad(spark, sf):
     """Padded training batches per rank, in an epoch's order."""
-    train = F.col("split") == "train"
-    narrow = _blocks(spark, sf, SHORT_BLOCK, SHORT_ROWS).filter(train)
-    placed = L.shuffle(narrow, SEED, EPOCH)
-    batched = C.batch_width(L.batches(L.shard_by_rank(placed, WORLD), MICRO), F.col("length"))
+    dealt = _shuffled_ranks(_totals(spark, sf, SHORT_ROWS), SHORT_BLOCK)
+    batched = C.batch_width(L.batches(dealt, MICRO), F.col("length"))
     keys = ["split", "shard", "batch", "blk"]
-    blocks = _packed(spark, sf, SHORT_BLOCK, SHORT_ROWS).filter(train)
+    blocks = _packed(spark, sf, SHORT_BLOCK, SHORT_ROWS).filter(_of("train"))
     blocks = blocks.withColumn("attention_mask", T.attention_mask(F.col("input_ids")))
     wide = blocks.join(batched.select(*keys, "rank", "batch_idx", "slot", "width"), keys)
     return C.pad(wide).select(

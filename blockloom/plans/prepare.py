@@ -9,7 +9,7 @@ from ..operators.packing import assign_batches, pack
 from ..operators.tokens import tokenize, tokenize_with_file
 from ..schemas import PACK_BATCH_ROWS
 from ..sources.prepared import cache_key, find_prepared, fingerprint, load_prepared, save_prepared
-from ..sources.readers import named_splits
+from ..sources.readers import named_splits, spread
 
 COLUMNS = ("input_ids", "special_tokens_mask")
 
@@ -24,7 +24,7 @@ def pack_documents(
     **options,
 ) -> DataFrame:
     """Documents ``(split, key, text)`` to blocks; the tokenizer is a vocabulary or a JSON text."""
-    placed = assign_batches(docs.select("split", key, "text"), key, n_shards, batch_rows)
+    placed = spread(assign_batches(docs.select("split", key, "text"), key, n_shards, batch_rows), key)
     if isinstance(tokenizer, str):
         tokens = tokenize_with_file(placed, tokenizer)
     else:

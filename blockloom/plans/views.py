@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import int_div, round_up
 from ..operators.artifacts import ITER_RANGE
 from ..operators.ordering import dense_index, group_value
+from ..session import stored
 from ..sources.readers import spread
 
 
@@ -20,14 +21,13 @@ def _split() -> Column:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` in two splits, spread over the cores."""
-    raw = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return spread(raw, "doc_id").withColumn("split", _split())
+    """``documents`` in two splits."""
+    return table(spark, sf_dir, "documents").select("doc_id", _split().alias("split"), "text")
 
 
-def doc_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys of ``docs`` without text."""
-    return table(spark, sf_dir, "documents").select("doc_id", _split().alias("split"))
+def spread_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``docs`` over all cores, for work on the text itself."""
+    return spread(docs(spark, sf_dir), "doc_id")
 
 
 def _micros(ts: str) -> Column:
@@ -59,7 +59,7 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as a step log of ten runs on four ranks; four micro batches make a step."""
     rows = events_as_steps(table(spark, sf_dir, "events"))
     indexed = dense_index(rows, F.col("event_id"), by=("run_id", "rank"), out="batch_idx")
-    return indexed.withColumn("step", int_div(F.col("batch_idx"), F.lit(4)))
+    return stored(indexed.withColumn("step", int_div(F.col("batch_idx"), F.lit(4))), "steps")
 
 
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,7 @@ def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(F.col("kept"), "keep"),
         )
     )
-    return known.withColumn("aliases", tags).drop("kept", "__last", "__best")
+    return stored(known.withColumn("aliases", tags).drop("kept", "__last", "__best"), "artifacts")
 
 
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:

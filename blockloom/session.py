@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = 8, app: str = "blockloom", memory: str = "12g") -> SparkSession:
@@ -37,3 +37,15 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
         root = tempfile.mkdtemp(prefix="blockloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a derived table to the shared scratch folder and read it back.
+
+    Order-sensitive operators read their input twice. What is costly to derive and narrow is
+    stored once instead; the copy survives lost executors, and its size on disk is what Spark
+    goes by when it chooses a join.
+    """
+    path = scratch_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

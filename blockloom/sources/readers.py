@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import TEXT
-from ..session import scratch_dir
+from ..session import stored
 
 # File extensions that mean "one document per line".
 LINE_EXTENSIONS = ("txt", "raw")
@@ -53,7 +53,6 @@ def with_file_position(df: DataFrame, out: str = "row_idx") -> DataFrame:
     The counts per block are written once to the shared scratch folder: the table has one row
     per block of a file, and its size on disk lets Spark decide how to join it.
     """
-    spark = df.sparkSession
     known = df if "__file" in df.columns else df.select("*", *file_place())
     placed = known.withColumn("__id", F.monotonically_increasing_id())
     per_block = placed.groupBy("__file", "__block").agg(
@@ -66,9 +65,7 @@ def with_file_position(df: DataFrame, out: str = "row_idx") -> DataFrame:
     block_base = per_block.select(
         "__file", "__block", "__first", F.coalesce(F.sum("__n").over(earlier_blocks), F.lit(0)).alias("__bb")
     )
-    path = scratch_dir(spark, "blocks")
-    block_base.join(file_base, "__file").write.parquet(path)
-    base = spark.read.parquet(path)
+    base = stored(block_base.join(file_base, "__file"), "blocks")
     return (
         placed.join(base, ["__file", "__block"])
         .withColumn(out, F.col("__fb") + F.col("__bb") + F.col("__id") - F.col("__first"))
