@@ -29,13 +29,14 @@ def local_session(cpus: int | str = 8, app: str = "blockloom", memory: str = "12
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the cluster's shared ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests, local runs) gets a local temporary folder; it
-    is made once per session and kept in the setting.
+    Only a session without that setting (tests, local runs) gets a local temporary folder, made
+    once per session.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="blockloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="blockloom-"))
+        root = context.getCheckpointDir()
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
 
 
