@@ -283,7 +283,8 @@ FROM (SELECT *, unnest({list(BLOCK_SIZES)}) AS b FROM totals) GROUP BY split, b"
         # 62 words fit beside start and end.
         "tokenize_truncated": token_view("pos <= 62 OR pos = 1000000000"),
         "special_mask": f"""
-SELECT doc_id, 1 AS specials, 1 AS first, CASE WHEN len({WORDS}) = 0 THEN 1 ELSE 0 END AS last FROM documents""",
+SELECT doc_id, CAST(1 AS BIGINT) AS specials, CAST(1 AS BIGINT) AS first,
+  CAST(CASE WHEN len({WORDS}) = 0 THEN 1 ELSE 0 END AS BIGINT) AS last FROM documents""",
         "vocab_topk": f"WITH {VOCAB} SELECT token, id, freq FROM vocab",
         "vocab_check": f"""
 WITH {DOCS}, {VOCAB}, {TOKENS}
@@ -440,7 +441,7 @@ SELECT run_id, corpus_blocks, per_epoch AS steps_per_epoch, round(goal_steps / n
         "layered_overrides": """
 WITH o AS (
   SELECT l_orderkey AS run_id, 'k' || (l_partkey % 5) AS key,
-         CASE WHEN l_linenumber = 7 THEN 99 ELSE l_linenumber - 1 END AS layer,
+         CAST(CASE WHEN l_linenumber = 7 THEN 99 ELSE l_linenumber - 1 END AS BIGINT) AS layer,
          l_suppkey AS seq, l_extendedprice AS value FROM lineitem)
 SELECT run_id, key, layer, value FROM (
   SELECT *, row_number() OVER (PARTITION BY run_id, key ORDER BY layer DESC, seq DESC, value DESC) AS rn FROM o)

@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +84,34 @@ def test_count_equals_tokenization(docs, vocab):
     assert counted == {k: len(r["input_ids"]) for k, r in full.items()}
 
 
+ODD = ["", " \n\t\x0b\f\r ", "a\x0bb", "\u00a0x\u2003y", "a_b-c", "😀😀 z", "\u0301e", " lead", "trail ", "0x1F,,;", "\x1c\x85"]
+
+
+def test_kernels_split_like_the_built_in_expression(spark, sf, monkeypatch):
+    odd = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(ODD)], "doc_id long, text string")
+    texts = odd.unionByName(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    words = texts.select("doc_id", T.word_tokens(F.col("text")).alias("w"))
+    counted = {r["token"]: r["freq"] for r in T.count_words(texts).collect()}
+    want = {r["t"]: r["count"] for r in words.select(F.explode("w").alias("t")).groupBy("t").count().collect()}
+    assert counted == want
+    every = T.load_vocab(T.build_vocab(texts, len(want)))
+    ids = dict(zip(every["token"].to_pylist(), every["id"].to_pylist()))
+    got = {r["doc_id"]: r["i"] for r in texts.select("doc_id", T.word_ids(F.col("text"), every, 1).alias("i")).collect()}
+    assert got == {r["doc_id"]: [ids[t] for t in r["w"]] for r in words.collect()}
+
+
+@pytest.mark.parametrize("limit", [1, 7, 40, 10**6])
+def test_batches_go_through_in_parts(monkeypatch, limit):
+    monkeypatch.setattr(T, "PART_BYTES", limit)
+    texts = pa.array(["a b", "", "c, d", None, "e" * 30, "f g h", ""])
+    parts = list(T._parts(texts))
+    assert pa.concat_arrays(parts).equals(texts)
+    assert len(parts) == 1 or limit < 10**6
+    counts = [c for p in parts for c in T._split_words(p)[1].to_pylist()]
+    assert counts == [2, 0, 3, 0, 1, 3, 0]
+    assert sum(len(T._split_words(p)[0]) for p in parts) == 9
+
+
 def test_vocab_check(docs, vocab):
     row = T.vocab_check(T.tokenize(docs, vocab), 8).first()
     ids = [i for r in T.tokenize(docs, vocab).collect() for i in r["input_ids"]]
