@@ -43,7 +43,7 @@ BLOCK_SIZES = (512, 1024, 2048)
 
 
 def _text(array: str) -> Column:
-    return F.array_join(F.col(array).cast("array<string>"), ",")
+    return F.col(array).cast("string")
 
 
 def _vocab(spark: SparkSession, sf: str):

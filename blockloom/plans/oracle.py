@@ -211,8 +211,8 @@ def elapsed(s: str) -> str:
 
 def token_view(limit: str = "true") -> str:
     return f"""WITH {DOCS}, {VOCAB}, {TOKENS}
-SELECT doc_id, split, count(*) AS n_tokens, string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos) AS ids,
-       count(*) AS attended, string_agg(CAST(special AS VARCHAR), ',' ORDER BY pos) AS special
+SELECT doc_id, split, count(*) AS n_tokens, CAST(list(id ORDER BY pos) AS VARCHAR) AS ids,
+       count(*) AS attended, CAST(list(special ORDER BY pos) AS VARCHAR) AS special
 FROM tokens WHERE {limit} GROUP BY doc_id, split"""
 
 
@@ -220,8 +220,8 @@ def packed_view(block: int, rows: int, numbered: bool) -> str:
     number = ", row_number() OVER (PARTITION BY split ORDER BY shard, batch, blk) - 1 AS block_idx" if numbered else ""
     return f"""WITH {DOCS}, {VOCAB}, {TOKENS}, {places(rows)}, {cells(block)}
 SELECT *{number} FROM (
-  SELECT split, shard, batch, blk, string_agg(CAST(id AS VARCHAR), ',' ORDER BY cell) AS ids,
-         string_agg(CAST(special AS VARCHAR), ',' ORDER BY cell) AS special
+  SELECT split, shard, batch, blk, CAST(list(id ORDER BY cell) AS VARCHAR) AS ids,
+         CAST(list(special ORDER BY cell) AS VARCHAR) AS special
   FROM cells GROUP BY split, shard, batch, blk)"""
 
 
@@ -338,22 +338,22 @@ texts AS (
   SELECT split, shard, batch, blk, list(id ORDER BY cell) AS ids, list(special ORDER BY cell) AS special
   FROM cells GROUP BY split, shard, batch, blk)
 SELECT split, rank, batch_idx, slot, CAST(width AS BIGINT) AS width,
-  array_to_string(list_concat(ids, list_transform(range(0, width - length), lambda x: {PAD})), ',') AS ids,
-  array_to_string(list_transform(range(0, width), lambda x: CASE WHEN x < length THEN 1 ELSE 0 END), ',') AS attention,
-  array_to_string(list_concat(special, list_transform(range(0, width - length), lambda x: 1)), ',') AS special
+  CAST(list_concat(ids, list_transform(range(0, width - length), lambda x: {PAD})) AS VARCHAR) AS ids,
+  CAST(list_transform(range(0, width), lambda x: CASE WHEN x < length THEN 1 ELSE 0 END) AS VARCHAR) AS attention,
+  CAST(list_concat(special, list_transform(range(0, width - length), lambda x: 1)) AS VARCHAR) AS special
 FROM wide JOIN texts USING (split, shard, batch, blk)""",
         "labels_clm": f"""
 WITH {DOCS}, {VOCAB}, {TOKENS}, {places(SHORT_ROWS)}, {cells(SHORT_BLOCK)},
 texts AS (SELECT split, shard, batch, blk, list(CASE WHEN id = {PAD} THEN -100 ELSE id END ORDER BY cell) AS l
           FROM cells GROUP BY split, shard, batch, blk)
 SELECT split, shard, batch, blk,
-  array_to_string(list_concat(l, list_transform(range(0, {SHORT_BLOCK} - len(l)), lambda x: -100)), ',') AS labels
+  CAST(list_concat(l, list_transform(range(0, {SHORT_BLOCK} - len(l)), lambda x: -100)) AS VARCHAR) AS labels
 FROM texts""",
         "labels_mlm": f"""
 {acted(BLOCK, ROWS)}
 SELECT split, shard, batch, blk,
-  string_agg(CAST(CASE action WHEN 1 THEN {MASK} WHEN 2 THEN other ELSE id END AS VARCHAR), ',' ORDER BY cell) AS ids,
-  string_agg(CAST(CASE WHEN action > 0 THEN id ELSE -100 END AS VARCHAR), ',' ORDER BY cell) AS labels
+  CAST(list(CASE action WHEN 1 THEN {MASK} WHEN 2 THEN other ELSE id END ORDER BY cell) AS VARCHAR) AS ids,
+  CAST(list(CASE WHEN action > 0 THEN id ELSE -100 END ORDER BY cell) AS VARCHAR) AS labels
 FROM acted GROUP BY split, shard, batch, blk""",
         "mask_stats": f"""
 {acted(BLOCK, ROWS)}
