@@ -14,16 +14,21 @@ shuffled.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import SPECIALS, VOCAB
 
+# Kernels travel inside the task: executors need this package neither installed nor on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Fixed value: words and single marks; no \w or \b, so every regex engine agrees on it.
 WORD_PATTERN = r"[A-Za-z0-9]+|[^A-Za-z0-9\s]"
 
