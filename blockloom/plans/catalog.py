@@ -293,8 +293,8 @@ def collate_pad(spark, sf):
     batched = C.batch_width(L.batches(dealt, MICRO), F.col("length"))
     keys = ["split", "shard", "batch", "blk"]
     blocks = _packed(spark, sf, SHORT_BLOCK, SHORT_ROWS).filter(_of("train"))
-    blocks = blocks.withColumn("attention_mask", T.attention_mask(F.col("input_ids")))
     wide = blocks.join(batched.select(*keys, "rank", "batch_idx", "slot", "width"), keys)
+    wide = wide.withColumn("attention_mask", T.attention_mask(F.col("input_ids")))
     return C.pad(wide).select(
         "split",
         "rank",

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.packing import assign_batches, pack
 from ..operators.tokens import tokenize, tokenize_with_file
-from ..schemas import PACK_BATCH_ROWS
+from ..schemas import PACK_BATCH_ROWS, SPECIALS
 from ..sources.prepared import cache_key, find_prepared, fingerprint, load_prepared, save_prepared
 from ..sources.readers import named_splits, spread
 
@@ -21,15 +23,25 @@ def pack_documents(
     block_size: int,
     n_shards: int,
     batch_rows: int = PACK_BATCH_ROWS,
-    **options,
+    bos: int | None = SPECIALS["bos"],
+    eos: int | None = SPECIALS["eos"],
 ) -> DataFrame:
-    """Documents ``(split, key, text)`` to blocks; the tokenizer is a vocabulary or a JSON text."""
+    """Documents ``(split, key, text)`` to blocks; the tokenizer is a vocabulary or a JSON text.
+
+    ``bos`` and ``eos`` belong to a vocabulary; a serialized tokenizer has its own.
+    """
     placed = spread(assign_batches(docs.select("split", key, "text"), key, n_shards, batch_rows), key)
     if isinstance(tokenizer, str):
-        tokens = tokenize_with_file(placed, tokenizer)
-    else:
-        tokens = tokenize(placed, tokenizer, **options)
-    return pack(tokens, block_size, key, COLUMNS)
+        return pack(tokenize_with_file(placed, tokenizer), block_size, key, COLUMNS)
+    tokens = tokenize(placed, tokenizer, bos=bos, eos=eos)
+    added = [i for i in (bos, eos) if i is not None]
+    if pc.any(pc.is_in(tokenizer["id"], pa.array(added, pa.int32()))).as_py():
+        return pack(tokens, block_size, key, COLUMNS)
+    # No word has the id of a special token, so the mask follows from the ids: it need not be
+    # shuffled and sorted along with them.
+    blocks = pack(tokens, block_size, key, COLUMNS[:1])
+    mask = F.transform("input_ids", lambda x: x.isin(added).cast("int") if added else F.lit(0))
+    return blocks.withColumn("special_tokens_mask", mask)
 
 
 def prepare(

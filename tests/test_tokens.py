@@ -1,9 +1,11 @@
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from blockloom.operators import tokens as T
 from blockloom.plans.catalog import word_tokenizer_json
+from blockloom.plans.prepare import pack_documents
 from blockloom.schemas import SPECIALS
 
 TEXTS = ["the cat, the dog.", "", "été 42!", "the  \n the\tunknownword", None, "<s> bos"]
@@ -127,3 +129,18 @@ def test_vocab_bounds(docs, monkeypatch):
     monkeypatch.setattr(T, "MAX_VOCAB", 4)
     with pytest.raises(ValueError):
         T.load_vocab(big)
+
+
+def test_packed_mask_is_that_of_the_tokens(docs, vocab):
+    """Also when a vocabulary gives a word the id of a special token."""
+    clash = pa.table({"token": vocab["token"], "id": pc.subtract(vocab["id"], 3).cast(pa.int32())})
+    assert 2 in clash["id"].to_pylist()
+    for table in (vocab, clash):
+        tokens = T.tokenize(docs, table)
+        plain = {r["doc_id"]: (r["input_ids"], r["special_tokens_mask"]) for r in tokens.collect()}
+        blocks = pack_documents(docs, table, "doc_id", 1000, 1).collect()
+        assert len(blocks) == 1
+        assert blocks[0]["input_ids"] == [i for k in sorted(plain) for i in plain[k][0]]
+        assert blocks[0]["special_tokens_mask"] == [m for k in sorted(plain) for m in plain[k][1]]
+    ends = pack_documents(docs, vocab, "doc_id", 1000, 1, bos=None, eos=None).first()
+    assert set(ends["special_tokens_mask"]) == {0}
