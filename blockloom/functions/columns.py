@@ -18,8 +18,15 @@ def round_up(n: Column, k: Column | int) -> Column:
 
 
 def fixed(x: Column, digits: int) -> Column:
-    """Decimal text with a fixed number of digits, exact half-even on the binary value."""
-    return F.call_function("format_number", x.cast("double"), F.lit("0." + "0" * digits))
+    """Decimal text with a fixed number of digits, exact half-even on the binary value.
+
+    Diverged values are ``nan``, ``inf`` and ``-inf``.
+    """
+    v = x.cast("double")
+    shown = F.call_function("format_number", v, F.lit("0." + "0" * digits))
+    return (
+        F.when(F.isnan(v), "nan").when(v == float("inf"), "inf").when(v == float("-inf"), "-inf").otherwise(shown)
+    )
 
 
 def _two(n: Column) -> Column:
@@ -27,8 +34,12 @@ def _two(n: Column) -> Column:
 
 
 def format_elapsed(seconds: Column) -> Column:
-    """Human-readable duration: ``0ms``, ``5.00s``, ``m:ssm``, ``h:mm:ssh``, ``d:hh:mm:ssd``."""
+    """Human-readable duration: ``0ms``, ``5.00s``, ``m:ssm``, ``h:mm:ssh``, ``d:hh:mm:ssd``.
+
+    A duration that is not finite has no text: null.
+    """
     s = seconds.cast("double")
+    s = F.when(F.isnan(s) | (F.abs(s) == float("inf")), None).otherwise(s)
     # Every branch from one minute up is positive, so whole seconds carry all that is printed.
     whole = F.floor(s).cast("long")
     d = F.floor(whole / 86400).cast("string")
@@ -36,7 +47,8 @@ def format_elapsed(seconds: Column) -> Column:
     m = F.pmod(F.floor(whole / 60), F.lit(60))
     sec = _two(F.pmod(whole, F.lit(60)))
     return (
-        F.when(s < 0.001, F.concat((s * 1000).cast("long").cast("string"), F.lit("ms")))
+        F.when(s.isNull(), None)
+        .when(s < 0.001, F.concat((s * 1000).cast("long").cast("string"), F.lit("ms")))
         .when(s < 60, F.concat(fixed(s, 2), F.lit("s")))
         .when(s < 3600, F.concat(m.cast("string"), F.lit(":"), sec, F.lit("m")))
         .when(s < 86400, F.concat_ws(":", h.cast("string"), _two(m), F.concat(sec, F.lit("h"))))

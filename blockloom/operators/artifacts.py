@@ -84,12 +84,17 @@ def resolve_refs(refs: DataFrame, artifacts: DataFrame, ref: str = "ref") -> Dat
         .agg(F.max(F.struct("iter", "artifact_id")).alias("__hit"))
     )
     parsed = parse_refs(refs, ref)
-    name = F.when(F.col("ref_run").isNotNull(), F.format_string(ARTIFACT_FORM, "ref_run", "ref_tag")).otherwise(
-        F.col(ref)
+    # Plain paths have no key; in the join they would all be one group.
+    plain = parsed.filter(F.col("ref_run").isNull())
+    found = parsed.filter(F.col("ref_run").isNotNull()).join(by_alias, ["ref_run", "ref_tag"], "left")
+    named = found.select(
+        ref,
+        F.format_string(ARTIFACT_FORM, "ref_run", "ref_tag").alias("resolved"),
+        F.col("__hit.artifact_id").alias("artifact_id"),
     )
-    return (
-        parsed.join(by_alias, ["ref_run", "ref_tag"], "left")
-        .select(ref, name.alias("resolved"), F.col("__hit.artifact_id").alias("artifact_id"))
+    kind = by_alias.schema["__hit"].dataType["artifact_id"].dataType
+    return named.unionByName(
+        plain.select(ref, F.col(ref).alias("resolved"), F.lit(None).cast(kind).alias("artifact_id"))
     )
 
 

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import int_div
 
-# Units of a budget.
-BASE_UNITS = ("samples", "tokens", "optimizer-steps", "iters")
-
 # Option defaults of a run.
 DEFAULTS = {
     "base_unit": "optimizer-steps",
@@ -26,6 +23,10 @@ DEFAULTS = {
 }
 
 
+# Options that may be shares of the goal.
+FRACTIONS = ("eval_interval", "save_interval", "warmup_period", "lr_decay_period")
+
+
 def _of_goal(value: Column, goal: Column) -> Column:
     # Below one it is a share of the goal. Both truncations are those of float arithmetic.
     v = value.cast("double")
@@ -83,9 +84,9 @@ def run_plan(runs: DataFrame) -> DataFrame:
 
 
 def run_coverage(plans: DataFrame, stats: DataFrame, split: str = "train") -> DataFrame:
-    """Steps per epoch, epochs needed and tokens seen for each planned run.
+    """Steps per epoch, epochs needed and tokens seen for each planned run; invalid runs have nulls.
 
-    ``stats`` has one row per split and block size, a handful; it is broadcast.
+    ``stats`` has one row per split and block size; Spark broadcasts it as long as it is small.
     """
     corpus = stats.filter(F.col("split") == split).select(
         F.col("block_size").cast("long").alias("block_size"), F.col("blocks").alias("corpus_blocks")
@@ -94,7 +95,8 @@ def run_coverage(plans: DataFrame, stats: DataFrame, split: str = "train") -> Da
     per_epoch = F.ceil(F.col("corpus_blocks") / batch).cast("long")
     return (
         plans.withColumn("block_size", F.col("block_size").cast("long"))
-        .join(F.broadcast(corpus), "block_size", "left")
+        .withColumn("goal_steps", F.when(F.col("valid"), F.col("goal_steps")))
+        .join(corpus, "block_size", "left")
         .withColumn("steps_per_epoch", per_epoch)
         .withColumn(
             "epochs",
@@ -104,6 +106,22 @@ def run_coverage(plans: DataFrame, stats: DataFrame, split: str = "train") -> Da
     )
 
 
+def with_defaults(options: DataFrame, run: str = "run_id") -> DataFrame:
+    """One row of typed options per run from ``(run, key, value)``, defaults where a key is not set.
+
+    Unknown keys are ignored; the result is what ``run_plan`` takes.
+    """
+    known = options.filter(F.col("key").isin(*DEFAULTS))
+    picked = known.groupBy(run).agg(
+        *[F.max(F.when(F.col("key") == k, F.col("value").cast("string"))).alias(k) for k in DEFAULTS]
+    )
+    typed = options.select(run).distinct().join(picked, run, "left")
+    for key, value in DEFAULTS.items():
+        kind = "string" if isinstance(value, str) else "double" if key in FRACTIONS else "long"
+        typed = typed.withColumn(key, F.coalesce(F.col(key).cast(kind), F.lit(value).cast(kind)))
+    return typed
+
+
 def layered_overrides(overrides: DataFrame) -> DataFrame:
     """The value of every option after defaults, configs in order and the command line.
 

@@ -90,11 +90,19 @@ def labels_mlm(
 
 
 def mask_stats(df: DataFrame, by: Sequence[str] = ("split",)) -> DataFrame:
-    """Positions per action, specials apart."""
-    pairs = df.select(*by, F.explode(F.arrays_zip("actions", "special_tokens_mask")).alias("p"))
-    return pairs.groupBy(*by, F.col("p.actions").alias("action"), F.col("p.special_tokens_mask").alias("special")).agg(
-        F.count(F.lit(1)).alias("positions")
-    )
+    """Positions per action, specials apart; counted inside each block, so no row is made per token."""
+    codes = F.zip_with("actions", "special_tokens_mask", lambda a, s: a * 2 + s)
+    coded = df.select(*by, codes.alias("codes"))
+
+    def found(code: int) -> Column:
+        return F.size(F.filter("codes", lambda c: c == code)).cast("long")
+
+    sums = coded.groupBy(*by).agg(*[F.sum(found(code)).alias(f"c{code}") for code in range(8)])
+    kinds = [
+        F.struct(F.lit(c // 2).alias("action"), F.lit(c % 2).alias("special"), F.col(f"c{c}").alias("positions"))
+        for c in range(8)
+    ]
+    return sums.select(*by, F.inline(F.array(*kinds))).filter("positions > 0")
 
 
 def objective(df: DataFrame, name: str, **options) -> DataFrame:

@@ -64,7 +64,7 @@ def shard_by_rank(
     counts = counts.select(*by, F.col("n").alias("__n"))
     padded = int_div(F.col("__n") + (world - 1), F.lit(world)) * world
     dealt = (
-        df.join(F.broadcast(counts), list(by))
+        df.join(counts, list(by))
         .withColumn("__padded", padded)
         .withColumn("__p", F.explode(F.sequence(F.col(pos), F.col("__padded") - 1, F.col("__n"))))
         .withColumn("is_pad", F.col("__p") >= F.col("__n"))

@@ -6,6 +6,8 @@ of all rows; the order-sensitive operators therefore work in ranges of steps (se
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,10 +65,10 @@ def val_loss(steps: DataFrame) -> DataFrame:
 
 
 def validation_spans(steps: DataFrame) -> DataFrame:
-    """Start, end and peak memory of every validation pass on every rank."""
+    """Start, end and peak memory of every validation pass on every rank, sessions apart."""
     return (
         steps.filter(F.col("phase") == "val")
-        .groupBy("run_id", "rank", "step")
+        .groupBy("run_id", "session", "rank", "step")
         .agg(
             F.min("start_us").alias("start_us"),
             F.max("end_us").alias("end_us"),
@@ -78,17 +80,18 @@ def validation_spans(steps: DataFrame) -> DataFrame:
 def system_metrics(spans: DataFrame) -> DataFrame:
     """Per validation: largest peak memory in MiB and mean seconds since the last one ended.
 
-    The first validation of a rank has no interval and is left out.
+    The first validation of a rank in a session has no interval and is left out: the clock lives in
+    the process, and the pause before a restart is no time between validations.
     """
     timed = previous_value(
         spans,
         F.col("end_us"),
         "prev_end_us",
         F.col("step"),
-        by=("run_id", "rank"),
+        by=("run_id", "session", "rank"),
         bucket=_range_of("step"),
     ).filter(F.col("prev_end_us").isNotNull())
-    return timed.groupBy("run_id", "step").agg(
+    return timed.groupBy("run_id", "session", "step").agg(
         (F.max("peak_bytes") / F.lit(2**20)).alias("max_peak_mib"),
         (F.sum(F.col("start_us") - F.col("prev_end_us")) / F.count(F.lit(1)) / F.lit(1e6)).alias("avg_seconds"),
     )
@@ -120,9 +123,14 @@ def best_checkpoint(candidates: DataFrame) -> DataFrame:
     )
 
 
-def every_nth(events: DataFrame, backoff: int = 10, order: str = "step", by: str = "run_id") -> DataFrame:
-    """Events that act when ``backoff`` events are skipped between two actions: every 11th by default."""
-    counted = dense_index(events, F.col(order), by=(by,), out="event_no", bucket=_range_of(order))
+def every_nth(
+    events: DataFrame, backoff: int = 10, order: str = "step", by: Sequence[str] = ("run_id", "session")
+) -> DataFrame:
+    """Events that act when ``backoff`` events are skipped between two actions: every 11th by default.
+
+    The count starts again with each session, as it lives in the process.
+    """
+    counted = dense_index(events, F.col(order), by=by, out="event_no", bucket=_range_of(order))
     return counted.withColumn("event_no", F.col("event_no") + 1).filter(
         F.pmod(F.col("event_no"), F.lit(backoff + 1)) == 0
     )

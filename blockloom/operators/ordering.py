@@ -18,13 +18,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BUCKET = "__bucket"
-MAX_BUCKETS = 4096
+# Rows that a bucket holds at most on average; more rows make more buckets.
+BUCKET_ROWS = 2_000_000
+# Sampled rows per bucket that the cut points are taken from.
+SAMPLE_PER_BUCKET = 64
 _STEPS = [1 << p for p in range(20, -1, -1)]
+MAX_CUTS = 2 * _STEPS[0] - 1
 
 
-def default_buckets(spark: SparkSession) -> int:
-    """As many buckets as the session has shuffle partitions, within a fixed bound."""
-    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_BUCKETS))
+def default_buckets(spark: SparkSession, rows: int = 0) -> int:
+    """As many buckets as the session has shuffle partitions, more if ``rows`` are many."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS))
 
 
 def upper_bound(key: Column, sorted_values: Column, max_size: int | None = None, field: str | None = None) -> Column:
@@ -42,6 +46,8 @@ def upper_bound(key: Column, sorted_values: Column, max_size: int | None = None,
 
     if not steps:
         return F.lit(0)
+    if max_size is not None and max_size > MAX_CUTS:
+        raise ValueError(f"a search reaches {MAX_CUTS} entries, not {max_size}")
     found = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance)
     # Declared non-null, so that joins on it need no null filter and thus no second search.
     return F.coalesce(found, F.lit(0))
@@ -53,15 +59,30 @@ def _literal_array(values: Sequence, sql_type: str) -> Column:
 
 
 def cut_points(df: DataFrame, keys: Sequence[Column], buckets: int) -> list[list]:
-    """Quantile cut points per key: at most ``buckets`` numbers each reach the driver."""
+    """Cut points per key, at most ``buckets - 1`` each, from a sample of the rows.
+
+    The sample has about ``SAMPLE_PER_BUCKET`` rows per bucket, however many rows there are, and no
+    task sees more than its share of it; only a count of all rows comes before. Where the cut points
+    lie decides how even the buckets are, never what an operator returns.
+    """
     if buckets <= 1:
         return [[] for _ in keys]
-    probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    accuracy = max(10_000, 20 * buckets)
-    found = df.agg(
-        *[F.percentile_approx(k, probs, accuracy).alias(f"c{i}") for i, k in enumerate(keys)]
-    ).first()
-    return [sorted(set(cuts or [])) for cuts in found]
+    narrow = df.select(*[k.alias(f"c{i}") for i, k in enumerate(keys)])
+    return cuts_of_sample(narrow, len(keys), buckets, narrow.count())
+
+
+def cuts_of_sample(narrow: DataFrame, keys: int, buckets: int, rows: int) -> list[list]:
+    """Cut points of the first ``keys`` columns of ``narrow``, which has ``rows`` rows."""
+    wanted = SAMPLE_PER_BUCKET * buckets
+    some = narrow if rows <= wanted else narrow.sample(wanted / rows, seed=17)
+    # The bound holds on average; the limit makes it hard.
+    drawn = some.limit(2 * wanted).collect()
+    res = []
+    for i in range(keys):
+        values = sorted(r[i] for r in drawn if r[i] is not None)
+        at = [values[len(values) * j // buckets] for j in range(1, buckets)] if values else []
+        res.append(sorted(set(at)))
+    return res
 
 
 def bucket_expr(key: Column, cuts: Sequence, tie: Column | None = None, tie_cuts: Sequence = ()) -> Column:
@@ -96,9 +117,11 @@ def with_bucket(
     """Add the bucket column; ``bucket`` gives it directly and saves the pass over the keys."""
     if bucket is not None:
         return df.withColumn(BUCKET, bucket.cast("long"))
-    n = buckets or default_buckets(df.sparkSession)
     keys = [key] if tie is None else [key, tie]
-    cuts = cut_points(df, keys, n)
+    narrow = df.select(*[k.alias(f"c{i}") for i, k in enumerate(keys)])
+    rows = narrow.count()
+    n = buckets or default_buckets(df.sparkSession, rows)
+    cuts = cuts_of_sample(narrow, len(keys), n, rows) if n > 1 else [[], []]
     return df.withColumn(BUCKET, bucket_expr(key, cuts[0], tie, cuts[1] if tie is not None else ()))
 
 

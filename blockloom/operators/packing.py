@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import by_split, int_div
 from ..schemas import PACK_BATCH_ROWS
-from .ordering import BUCKET, bucket_expr, default_buckets, dense_index, running_sum, upper_bound
+from .ordering import BUCKET, bucket_expr, cuts_of_sample, default_buckets, dense_index, running_sum, upper_bound
 
 GROUP = ("split", "shard", "batch")
 
@@ -61,26 +61,19 @@ def map_batches(
     return df.withColumn("batch", int_div(F.col(idx) - start, F.lit(batch_rows)))
 
 
-def _key_stats(df: DataFrame, key: str, buckets: int) -> tuple[dict[str, int], list]:
-    """Rows per split and shared cut points of the key, from one pass over two columns."""
-    probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)]) if buckets > 1 else F.array(F.lit(0.5))
-    rows = (
-        df.groupBy("split")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.percentile_approx(key, probs, max(10_000, 20 * buckets)).alias("cuts"),
-        )
-        .collect()
-    )
-    cuts = sorted({c for r in rows for c in (r["cuts"] or [])}) if buckets > 1 else []
-    return {r["split"]: r["n"] for r in rows}, cuts
+def _key_stats(df: DataFrame, key: str, buckets: int | None) -> tuple[dict[str, int], list]:
+    """Rows per split and shared cut points of the key, from counts and a bounded sample."""
+    counts = {r["split"]: r["n"] for r in df.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = sum(counts.values())
+    n = buckets or default_buckets(df.sparkSession, rows)
+    return counts, cuts_of_sample(df.select(key), 1, n, rows)[0] if n > 1 else []
 
 
 def index_batches(
     df: DataFrame, key: str, n_shards: int, batch_rows: int = PACK_BATCH_ROWS, buckets: int | None = None
 ) -> DataFrame:
     """``(split, key, row_idx, shard, batch)`` for every row; narrow, no payload."""
-    totals, cuts = _key_stats(df, key, buckets or default_buckets(df.sparkSession))
+    totals, cuts = _key_stats(df, key, buckets)
     return _index_narrow(df, key, n_shards, batch_rows, totals, cuts).drop(BUCKET + "_k")
 
 
@@ -101,7 +94,7 @@ def assign_batches(
     bounds it is broadcast and documents stay where they are; beyond them (very small batches)
     documents are joined with the narrow index by key.
     """
-    totals, cuts = _key_stats(df, key, buckets or default_buckets(df.sparkSession))
+    totals, cuts = _key_stats(df, key, buckets)
     index = _index_narrow(df, key, n_shards, batch_rows, totals, cuts)
     starts = sum(n // batch_rows + n_shards + len(cuts) + 1 for n in totals.values())
     if starts > min(MAX_BROADCAST_STARTS, MAX_STARTS_PER_BUCKET * (len(cuts) + 1) * max(len(totals), 1)):

@@ -22,7 +22,11 @@ from ..sources import prepared as S
 from ..sources import readers
 from ..streaming import live
 from . import views as V
-from .prepare import pack_documents
+from .prepare import feed, pack_documents, store_blocks
+
+# Columns of the step log that counters and losses are made of.
+COUNTED = ("run_id", "session", "rank", "phase", "batch_idx", "step", "batch_size", "devices", "width")
+LOSSES = ("run_id", "rank", "phase", "step", "loss", "batch_size")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -121,10 +125,7 @@ def cache_lookup(spark, sf):
 
 
 def corpus_preview(spark, sf):
-    keys = P.index_batches(V.docs(spark, sf), "doc_id", SHARDS)
-    first = readers.corpus_preview(keys, 2).select("split", "row_idx", "doc_id")
-    # Two rows per split: the texts stay in place and are filtered by the broadcast keys.
-    return V.table(spark, sf, "documents").select("doc_id", "text").join(F.broadcast(first), "doc_id")
+    return readers.corpus_preview(V.docs(spark, sf), "doc_id", 2)
 
 
 def corpus_stats(spark, sf):
@@ -278,8 +279,8 @@ def optimizer_steps(spark, sf):
 
 
 def due_steps(spark, sf):
-    passes = V.steps(spark, sf).filter((F.col("rank") == 0) & (F.col("phase") == "train"))
-    counted = passes.select("run_id", (F.col("batch_idx") + 1).alias("passes"))
+    steps = V.steps(spark, sf, "run_id", "rank", "phase", "passes")
+    counted = steps.filter((F.col("rank") == 0) & (F.col("phase") == "train")).select("run_id", "passes")
     marked = L.due_steps(counted, EVAL_EVERY, SAVE_EVERY, LOG_ACCUM)
     return marked.filter("eval_due or save_due")
 
@@ -287,24 +288,32 @@ def due_steps(spark, sf):
 # --- collation -------------------------------------------------------------------------------
 
 
+def _stored_blocks(spark, sf, block: int = BLOCK, rows: int = ROWS) -> DataFrame:
+    return store_blocks(spark, _packed(spark, sf, block, rows), scratch_dir(spark, "prepared"), block)
+
+
+def _fed_view(df: DataFrame, *more: Column) -> DataFrame:
+    ids, attention = _text("input_ids").alias("ids"), _text("attention_mask").alias("attention")
+    return df.select("split", "rank", "batch_idx", "slot", "width", ids, attention, *more)
+
+
 def collate_pad(spark, sf):
-    """Padded training batches per rank, in an epoch's order."""
-    dealt = _shuffled_ranks(_totals(spark, sf, SHORT_ROWS), SHORT_BLOCK)
-    batched = C.batch_width(L.batches(dealt, MICRO), F.col("length"))
-    keys = ["split", "shard", "batch", "blk"]
-    blocks = _packed(spark, sf, SHORT_BLOCK, SHORT_ROWS).filter(_of("train"))
-    wide = blocks.join(batched.select(*keys, "rank", "batch_idx", "slot", "width"), keys)
-    wide = wide.withColumn("attention_mask", T.attention_mask(F.col("input_ids")))
-    return C.pad(wide).select(
-        "split",
-        "rank",
-        "batch_idx",
-        "slot",
-        "width",
-        _text("input_ids").alias("ids"),
-        _text("attention_mask").alias("attention"),
-        _text("special_tokens_mask").alias("special"),
-    )
+    """Padded batches per rank of both splits, from stored blocks."""
+    fed = feed(_stored_blocks(spark, sf, SHORT_BLOCK, SHORT_ROWS), SEED, EPOCH, WORLD, MICRO)
+    return _fed_view(fed, _text("special_tokens_mask").alias("special"))
+
+
+def feed_clm(spark, sf):
+    """Padded and labelled batches per rank of both splits, causal objective."""
+    blocks = _stored_blocks(spark, sf, SHORT_BLOCK, SHORT_ROWS)
+    return _fed_view(feed(blocks, SEED, EPOCH, WORLD, MICRO, "clm"), _text("labels").alias("labels"))
+
+
+def feed_mlm(spark, sf):
+    """The same with the masked objective."""
+    size = VOCAB_SIZE + len(SPECIALS)
+    fed = feed(_stored_blocks(spark, sf), SEED, EPOCH, WORLD, MICRO, "mlm", vocab_size=size, p=MASK_P)
+    return _fed_view(fed, _text("labels").alias("labels"))
 
 
 def labels_clm(spark, sf):
@@ -336,23 +345,25 @@ def mask_stats(spark, sf):
 
 
 def progress(spark, sf):
-    return M.progress(V.steps(spark, sf)).select("run_id", "session", "batch_idx", "samples", "tokens")
+    return M.progress(V.steps(spark, sf, *COUNTED)).select("run_id", "session", "batch_idx", "samples", "tokens")
 
 
 def progress_at_val(spark, sf):
-    return M.progress_at_val(V.steps(spark, sf)).select("run_id", "session", "batch_idx", "samples", "tokens")
+    return M.progress_at_val(V.steps(spark, sf, *COUNTED)).select("run_id", "session", "batch_idx", "samples", "tokens")
 
 
 def train_loss(spark, sf):
-    return M.train_loss(V.steps(spark, sf))
+    return M.train_loss(V.steps(spark, sf, "run_id", "session", "rank", "phase", "batch_idx", "step", "loss"))
 
 
 def val_loss(spark, sf):
-    return M.val_loss(V.steps(spark, sf)).withColumn("val_loss", F.round("val_loss", 10))
+    return M.val_loss(V.steps(spark, sf, *LOSSES)).withColumn("val_loss", F.round("val_loss", 10))
 
 
 def system_metrics(spark, sf):
-    spans = M.validation_spans(V.steps(spark, sf))
+    spans = M.validation_spans(
+        V.steps(spark, sf, "run_id", "session", "rank", "phase", "step", "start_us", "end_us", "peak_bytes")
+    )
     return M.system_metrics(spans).withColumn("avg_seconds", F.round("avg_seconds", 9))
 
 
@@ -366,12 +377,12 @@ def _candidates(steps: DataFrame) -> DataFrame:
 
 
 def best_checkpoint(spark, sf):
-    best = M.best_checkpoint(_candidates(V.steps(spark, sf)))
+    best = M.best_checkpoint(_candidates(V.steps(spark, sf, *LOSSES)))
     return best.withColumn("loss", F.round("loss", 10))
 
 
 def checkpoint_name(spark, sf):
-    steps = V.steps(spark, sf)
+    steps = V.steps(spark, sf, *dict.fromkeys((*COUNTED, *LOSSES)))
     counters = (
         M.progress(steps)
         .groupBy("run_id", "step")
@@ -398,8 +409,9 @@ def cache_trim(spark, sf):
 
 
 def backoff_events(spark, sf):
-    validations = V.steps(spark, sf).filter(F.col("phase") == "val").select("run_id", "step").distinct()
-    return M.every_nth(validations).select("run_id", "step", "event_no")
+    steps = V.steps(spark, sf, "run_id", "session", "phase", "step")
+    validations = steps.filter(F.col("phase") == "val").select("run_id", "session", "step").distinct()
+    return M.every_nth(validations).select("run_id", "session", "step", "event_no")
 
 
 def resolve_refs(spark, sf):
@@ -421,14 +433,14 @@ def format_elapsed_query(spark, sf):
 
 def metric_line(spark, sf):
     """Loss, counters and time of every training batch as one line."""
-    rows = M.progress(V.steps(spark, sf)).select(
+    rows = M.progress(V.steps(spark, sf, *COUNTED, "loss", "start_us", "end_us")).select(
         "run_id",
         F.col("batch_idx").alias("step"),
         F.inline(
             F.array(
                 _metric(0, "train/loss", F.col("loss"), True),
-                _metric(1, "progress/samples", F.col("samples"), False),
-                _metric(2, "progress/tokens", F.col("tokens"), False),
+                _metric(1, "progress/samples", F.col("samples"), True),
+                _metric(2, "progress/tokens", F.col("tokens"), True),
                 _metric(3, "perf/batch_time", (F.col("end_us") - F.col("start_us")) / F.lit(1e6), True),
             )
         ),
@@ -464,11 +476,20 @@ def run_plan(spark, sf):
     )
 
 
+PLAN = ("micro_batch", "accumulation", "units_per_step", "goal_steps", "eval_steps", "save_steps", "warmup_steps")
+
+
+def run_plan_layered(spark, sf):
+    """Options set in layers, completed by the defaults, turned into a plan."""
+    chosen = G.layered_overrides(V.option_overrides(spark, sf))
+    return G.run_plan(G.with_defaults(chosen)).select("run_id", *PLAN, "decay_steps", "valid")
+
+
 def run_coverage(spark, sf):
-    plan = G.run_plan(V.runs(spark, sf)).filter("valid")
+    plan = G.run_plan(V.runs(spark, sf))
     stats = R.corpus_stats(_totals(spark, sf), BLOCK_SIZES)
     return G.run_coverage(plan, stats).select(
-        "run_id", "corpus_blocks", "steps_per_epoch", "epochs", "goal_steps", "tokens_seen"
+        "run_id", "valid", "corpus_blocks", "steps_per_epoch", "epochs", "goal_steps", "tokens_seen"
     )
 
 
@@ -528,6 +549,8 @@ def queries() -> dict[str, Query]:
         "optimizer_steps": optimizer_steps,
         "due_steps": due_steps,
         "collate_pad": collate_pad,
+        "feed_clm": feed_clm,
+        "feed_mlm": feed_mlm,
         "labels_clm": labels_clm,
         "labels_mlm": labels_mlm,
         "mask_stats": mask_stats,
@@ -547,6 +570,7 @@ def queries() -> dict[str, Query]:
         "format_elapsed": format_elapsed_query,
         "metric_line": metric_line,
         "run_plan": run_plan,
+        "run_plan_layered": run_plan_layered,
         "run_coverage": run_coverage,
         "layered_overrides": layered_overrides,
         "stream_pack": stream_pack,

@@ -100,6 +100,14 @@ blocks AS (
   FROM exploded)"""
 
 
+def ordered_batches() -> str:
+    """Batches of both splits with their widths."""
+    return f"""ordered AS (
+  SELECT * FROM shuffled UNION ALL SELECT *, block_idx AS pos FROM blocks WHERE split <> 'train'),
+{dealt("ordered")},
+wide AS (SELECT *, (max(length) OVER (PARTITION BY split, rank, batch_idx) + 7) // 8 * 8 AS width FROM dealt)"""
+
+
 def hex_long(text: str, digits: int) -> str:
     return f"CAST('0x' || substr(md5({text}), 1, {digits}) AS BIGINT)"
 
@@ -122,7 +130,7 @@ dealt AS (
 
 
 STEPS = """steps AS (
-  SELECT *, batch_idx // 4 AS step FROM (
+  SELECT *, (passes - CASE WHEN phase = 'train' THEN 1 ELSE 0 END) // 4 AS step FROM (
     SELECT event_id, user_id % 10 AS run_id, event_id % 4 AS rank,
            CASE WHEN extract(day FROM ts) > 15 THEN 1 ELSE 0 END AS session,
            CASE WHEN event_type = 'view' THEN 'val' ELSE 'train' END AS phase,
@@ -131,7 +139,9 @@ STEPS = """steps AS (
            4 AS devices, value AS loss,
            epoch_us(ts) AS start_us, epoch_us(ts) + event_id % 60 * 1000000 AS end_us,
            1048576 * (event_id % 97 + 1) AS peak_bytes,
-           row_number() OVER (PARTITION BY user_id % 10, event_id % 4 ORDER BY event_id) - 1 AS batch_idx
+           row_number() OVER (PARTITION BY user_id % 10, event_id % 4 ORDER BY event_id) - 1 AS batch_idx,
+           CAST(sum(CASE WHEN event_type = 'view' THEN 0 ELSE 1 END) OVER (
+             PARTITION BY user_id % 10, event_id % 4 ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS passes
     FROM events))"""
 
 COUNTED = f"""{STEPS}, counted AS (
@@ -283,8 +293,9 @@ FROM (SELECT *, unnest({list(BLOCK_SIZES)}) AS b FROM totals) GROUP BY split, b"
         # 62 words fit beside start and end.
         "tokenize_truncated": token_view("pos <= 62 OR pos = 1000000000"),
         "special_mask": f"""
-SELECT doc_id, CAST(1 AS BIGINT) AS specials, CAST(1 AS BIGINT) AS first,
-  CAST(CASE WHEN len({WORDS}) = 0 THEN 1 ELSE 0 END AS BIGINT) AS last FROM documents""",
+WITH {DOCS}, {VOCAB}, {TOKENS}
+SELECT doc_id, CAST(sum(special) AS BIGINT) AS specials, CAST(arg_min(special, pos) AS BIGINT) AS first,
+  CAST(arg_max(special, pos) AS BIGINT) AS last FROM tokens WHERE pos < 1000000000 GROUP BY doc_id""",
         "vocab_topk": f"WITH {VOCAB} SELECT token, id, freq FROM vocab",
         "vocab_check": f"""
 WITH {DOCS}, {VOCAB}, {TOKENS}
@@ -326,14 +337,13 @@ WITH {block_rows(BLOCK, ROWS)}, {SHUFFLED}, {dealt("shuffled")}
 SELECT split, batch_idx // {ACCUM} AS step, count(*) AS rows, count(*) = {MICRO * WORLD * ACCUM} AS "full"
 FROM dealt GROUP BY split, batch_idx // {ACCUM}""",
         "due_steps": f"""
-WITH {STEPS}, p AS (SELECT run_id, batch_idx + 1 AS passes FROM steps WHERE rank = 0 AND phase = 'train'),
+WITH {STEPS}, p AS (SELECT run_id, passes FROM steps WHERE rank = 0 AND phase = 'train'),
 m AS (SELECT run_id, passes, passes // {LOG_ACCUM} AS step,
         passes % {EVAL_EVERY * LOG_ACCUM} = 0 OR passes = {LOG_ACCUM} AS eval_due,
         passes % {SAVE_EVERY * LOG_ACCUM} = 0 AS save_due FROM p)
 SELECT * FROM m WHERE eval_due OR save_due""",
         "collate_pad": f"""
-WITH {block_rows(SHORT_BLOCK, SHORT_ROWS)}, {VOCAB}, {TOKENS}, {cells(SHORT_BLOCK)}, {SHUFFLED}, {dealt("shuffled")},
-wide AS (SELECT *, (max(length) OVER (PARTITION BY split, rank, batch_idx) + 7) // 8 * 8 AS width FROM dealt),
+WITH {block_rows(SHORT_BLOCK, SHORT_ROWS)}, {VOCAB}, {TOKENS}, {cells(SHORT_BLOCK)}, {SHUFFLED}, {ordered_batches()},
 texts AS (
   SELECT split, shard, batch, blk, list(id ORDER BY cell) AS ids, list(special ORDER BY cell) AS special
   FROM cells GROUP BY split, shard, batch, blk)
@@ -341,6 +351,30 @@ SELECT split, rank, batch_idx, slot, CAST(width AS BIGINT) AS width,
   CAST(list_concat(ids, list_transform(range(0, width - length), lambda x: {PAD})) AS VARCHAR) AS ids,
   CAST(list_transform(range(0, width), lambda x: CASE WHEN x < length THEN 1 ELSE 0 END) AS VARCHAR) AS attention,
   CAST(list_concat(special, list_transform(range(0, width - length), lambda x: 1)) AS VARCHAR) AS special
+FROM wide JOIN texts USING (split, shard, batch, blk)""",
+        "feed_clm": f"""
+WITH {block_rows(SHORT_BLOCK, SHORT_ROWS)}, {VOCAB}, {TOKENS}, {cells(SHORT_BLOCK)}, {SHUFFLED}, {ordered_batches()},
+texts AS (SELECT split, shard, batch, blk, list(id ORDER BY cell) AS ids FROM cells GROUP BY split, shard, batch, blk)
+SELECT split, rank, batch_idx, slot, CAST(width AS BIGINT) AS width,
+  CAST(list_concat(ids, list_transform(range(0, width - length), lambda x: {PAD})) AS VARCHAR) AS ids,
+  CAST(list_transform(range(0, width), lambda x: CASE WHEN x < length THEN 1 ELSE 0 END) AS VARCHAR) AS attention,
+  CAST(list_concat(list_transform(ids, lambda x: CASE WHEN x = {PAD} THEN -100 ELSE x END),
+                   list_transform(range(0, width - length), lambda x: -100)) AS VARCHAR) AS labels
+FROM wide JOIN texts USING (split, shard, batch, blk)""",
+        "feed_mlm": f"""
+{acted(BLOCK, ROWS)},
+lens AS (SELECT split, shard, batch, blk, count(*) AS length FROM cells GROUP BY split, shard, batch, blk),
+blocks AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY shard, batch, blk) - 1 AS block_idx FROM lens),
+{SHUFFLED}, {ordered_batches()},
+texts AS (
+  SELECT split, shard, batch, blk,
+    list(CASE action WHEN 1 THEN {MASK} WHEN 2 THEN other ELSE id END ORDER BY cell) AS ids,
+    list(CASE WHEN action > 0 THEN id ELSE -100 END ORDER BY cell) AS labels
+  FROM acted GROUP BY split, shard, batch, blk)
+SELECT split, rank, batch_idx, slot, CAST(width AS BIGINT) AS width,
+  CAST(list_concat(ids, list_transform(range(0, width - length), lambda x: {PAD})) AS VARCHAR) AS ids,
+  CAST(list_transform(range(0, width), lambda x: CASE WHEN x < length THEN 1 ELSE 0 END) AS VARCHAR) AS attention,
+  CAST(list_concat(labels, list_transform(range(0, width - length), lambda x: -100)) AS VARCHAR) AS labels
 FROM wide JOIN texts USING (split, shard, batch, blk)""",
         "labels_clm": f"""
 WITH {DOCS}, {VOCAB}, {TOKENS}, {places(SHORT_ROWS)}, {cells(SHORT_BLOCK)},
@@ -369,11 +403,11 @@ WITH {STEPS} SELECT run_id, session, batch_idx, step, loss FROM steps WHERE rank
 WITH {STEPS}, {VAL_LOSS} SELECT run_id, step, round(val_loss, 10) AS val_loss, ranks FROM losses""",
         "system_metrics": f"""
 WITH {STEPS}, spans AS (
-  SELECT run_id, rank, step, min(start_us) AS s, max(end_us) AS e, max(peak_bytes) AS peak
-  FROM steps WHERE phase = 'val' GROUP BY run_id, rank, step),
-timed AS (SELECT *, lag(e) OVER (PARTITION BY run_id, rank ORDER BY step) AS prev FROM spans)
-SELECT run_id, step, max(peak) / 1048576 AS max_peak_mib, round(sum(s - prev) / count(*) / 1e6, 9) AS avg_seconds
-FROM timed WHERE prev IS NOT NULL GROUP BY run_id, step""",
+  SELECT run_id, session, rank, step, min(start_us) AS s, max(end_us) AS e, max(peak_bytes) AS peak
+  FROM steps WHERE phase = 'val' GROUP BY run_id, session, rank, step),
+timed AS (SELECT *, lag(e) OVER (PARTITION BY run_id, session, rank ORDER BY step) AS prev FROM spans)
+SELECT run_id, session, step, max(peak) / 1048576 AS max_peak_mib, round(sum(s - prev) / count(*) / 1e6, 9) AS avg_seconds
+FROM timed WHERE prev IS NOT NULL GROUP BY run_id, session, step""",
         "best_checkpoint": f"""
 WITH {STEPS}, {CANDIDATES}
 SELECT run_id, step, round(loss, 10) AS loss FROM (
@@ -397,8 +431,8 @@ WITH {ARTIFACTS}, summed AS (
 SELECT *, kept_bytes <= {CACHE_LIMIT} AS keep FROM summed""",
         "backoff_events": f"""
 WITH {STEPS}, n AS (
-  SELECT run_id, step, row_number() OVER (PARTITION BY run_id ORDER BY step) AS event_no
-  FROM (SELECT DISTINCT run_id, step FROM steps WHERE phase = 'val'))
+  SELECT run_id, session, step, row_number() OVER (PARTITION BY run_id, session ORDER BY step) AS event_no
+  FROM (SELECT DISTINCT run_id, session, step FROM steps WHERE phase = 'val'))
 SELECT * FROM n WHERE event_no % 11 = 0""",
         "resolve_refs": f"""
 WITH {ARTIFACTS}, tagged AS (
@@ -423,11 +457,31 @@ WITH t AS (SELECT event_id, value * CAST([1e-6, 0.1, 10.0, 100.0, 5000.0][event_
 SELECT event_id, {elapsed("s")} AS elapsed FROM t""",
         "metric_line": f"""
 WITH {COUNTED}, t AS (SELECT *, (end_us - start_us) / 1e6 AS s FROM counted WHERE phase = 'train')
-SELECT run_id, batch_idx AS step, 'train loss: ' || printf('%.3f', loss) || ', samples: ' || samples ||
-  ', tokens: ' || tokens || ', batch_time: ' || {elapsed("s")} AS line FROM t""",
+SELECT run_id, batch_idx AS step, 'train loss: ' || printf('%.3f', loss) || ', samples: ' || printf('%.3f', CAST(samples AS DOUBLE)) ||
+  ', tokens: ' || printf('%.3f', CAST(tokens AS DOUBLE)) || ', batch_time: ' || {elapsed("s")} AS line FROM t""",
         "run_plan": f"""
 WITH {RUNS} SELECT run_id, micro_batch, accumulation, units_per_step, goal_steps, eval_steps, save_steps,
   warmup_steps, decay_steps, valid FROM plans""",
+        "run_plan_layered": """
+WITH o AS (
+  SELECT l_orderkey AS run_id, l_partkey % 4 AS k, l_suppkey AS seq,
+    CASE WHEN l_linenumber = 7 THEN 99 ELSE l_linenumber - 1 END AS layer,
+    CASE l_partkey % 4 WHEN 0 THEN l_suppkey * 1000 + 50 WHEN 1 THEN (l_suppkey % 8 + 1) * 16 WHEN 2 THEN 16
+         ELSE l_suppkey % 50 + 1 END AS value FROM lineitem),
+w AS (
+  SELECT run_id, k, value FROM (
+    SELECT *, row_number() OVER (PARTITION BY run_id, k ORDER BY layer DESC, seq DESC, value DESC) AS rn FROM o)
+  WHERE rn = 1),
+r AS (
+  SELECT run_id, coalesce(max(value) FILTER (k = 0), 100000) AS goal, coalesce(max(value) FILTER (k = 1), 128) AS batch,
+    max(value) FILTER (k = 2) AS mb, max(value) FILTER (k = 3) AS ev FROM w GROUP BY run_id),
+m AS (SELECT *, coalesce(mb, batch) AS micro FROM r)
+SELECT run_id, CAST(micro AS BIGINT) AS micro_batch, CAST(nullif(batch // micro, 0) AS BIGINT) AS accumulation,
+  CAST(1 AS BIGINT) AS units_per_step, CAST(goal AS BIGINT) AS goal_steps,
+  CAST(coalesce(CAST(ev AS DOUBLE), trunc(CAST(0.1 AS DOUBLE) * goal)) AS BIGINT) AS eval_steps,
+  CAST(trunc(CAST(0.1 AS DOUBLE) * goal) AS BIGINT) AS save_steps,
+  CAST(trunc(CAST(0.005 AS DOUBLE) * goal) AS BIGINT) AS warmup_steps, CAST(goal AS BIGINT) AS decay_steps,
+  coalesce(batch % micro = 0 AND batch = micro * (batch // micro), false) AS valid FROM m""",
         "run_coverage": f"""
 WITH {totals(ROWS)}, {RUNS},
 sized_corpus AS (
@@ -435,8 +489,9 @@ sized_corpus AS (
   FROM (SELECT *, unnest({list(BLOCK_SIZES)}) AS b FROM totals WHERE split = 'train') GROUP BY b),
 covered AS (
   SELECT *, (corpus_blocks + batch_size - 1) // batch_size AS per_epoch
-  FROM plans JOIN sized_corpus USING (block_size) WHERE valid)
-SELECT run_id, corpus_blocks, per_epoch AS steps_per_epoch, round(goal_steps / nullif(per_epoch, 0), 6) AS epochs,
+  FROM (SELECT * REPLACE (CASE WHEN valid THEN goal_steps END AS goal_steps) FROM plans)
+  JOIN sized_corpus USING (block_size))
+SELECT run_id, valid, corpus_blocks, per_epoch AS steps_per_epoch, round(goal_steps / nullif(per_epoch, 0), 6) AS epochs,
   goal_steps, goal_steps * batch_size * block_size AS tokens_seen FROM covered""",
         "layered_overrides": """
 WITH o AS (

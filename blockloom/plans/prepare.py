@@ -7,10 +7,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.packing import assign_batches, pack
-from ..operators.tokens import tokenize, tokenize_with_file
+from ..operators import collate, loading
+from ..operators.packing import GROUP, assign_batches, number_blocks, pack
+from ..operators.tokens import attention_mask, tokenize, tokenize_with_file
 from ..schemas import PACK_BATCH_ROWS, SPECIALS
-from ..sources.prepared import cache_key, find_prepared, fingerprint, load_prepared, save_prepared
+from ..sources.prepared import cache_key, find_prepared, fingerprint, input_identity, load_prepared, save_prepared
 from ..sources.readers import named_splits, spread
 
 COLUMNS = ("input_ids", "special_tokens_mask")
@@ -62,7 +63,15 @@ def prepare(
     """
     n_shards = n_shards or spark.sparkContext.defaultParallelism
     content = tokenizer if isinstance(tokenizer, str) else tokenizer.to_pydict()
-    key = cache_key(inputs, block_size, tokenizer_name, fingerprint(tokenizer=content), n_shards, batch_rows)
+    key = cache_key(
+        fingerprint(tokenizer=content),
+        inputs=inputs,
+        block_size=block_size,
+        tokenizer_name=tokenizer_name,
+        n_shards=n_shards,
+        batch_rows=batch_rows,
+        identity=input_identity(spark, inputs),
+    )
     path, _ = (None, False) if force_rebuild else find_prepared(spark, root, key)
     if path is None:
         path = f"{root.rstrip('/')}/{key}"
@@ -73,3 +82,43 @@ def prepare(
     return load_prepared(spark, path)
 
 
+def store_blocks(spark: SparkSession, blocks: DataFrame, path: str, block_size: int) -> DataFrame:
+    """Store packed blocks with their length and their dense number in the split.
+
+    What feeds a consumer starts from here: positions are worked out on ``(split, block_idx, length)``,
+    and the texts are never read again.
+    """
+    save_prepared(blocks.withColumn("length", F.size("input_ids").cast("long")), f"{path}/packed")
+    packed = load_prepared(spark, f"{path}/packed")
+    totals = packed.groupBy(*GROUP).agg(F.sum("length").alias("tokens"))
+    save_prepared(number_blocks(packed, totals, block_size), f"{path}/numbered")
+    return load_prepared(spark, f"{path}/numbered")
+
+
+def feed(
+    blocks: DataFrame,
+    seed: int,
+    epoch: int,
+    world: int,
+    micro: int,
+    objective: str | None = None,
+    multiple: int | None = 8,
+    **options,
+) -> DataFrame:
+    """Batches of every rank for both splits, padded and, with an objective, labelled.
+
+    ``train`` comes in the order of the epoch, every other split in its own. The order, ranks and
+    widths are worked out on narrow rows and brought to the blocks by their number.
+    """
+    narrow = blocks.select("split", "block_idx", "length")
+    train = loading.shuffle(narrow.filter(F.col("split") == "train"), seed, epoch)
+    rest = narrow.filter(F.col("split") != "train").withColumn("pos", F.col("block_idx"))
+    counts = narrow.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    dealt = loading.shard_by_rank(train.unionByName(rest, allowMissingColumns=True), world, counts=counts)
+    placed = collate.batch_width(loading.batches(dealt, micro), F.col("length"), multiple)
+    keys = ["split", "block_idx"]
+    wide = blocks.drop("length").join(placed.select(*keys, "rank", "batch_idx", "slot", "width"), keys)
+    padded = collate.pad(wide.withColumn("attention_mask", attention_mask(F.col("input_ids"))))
+    if objective == "mlm":
+        options = {"seed": seed, "epoch": epoch} | options
+    return collate.objective(padded, objective, **options) if objective else padded

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import int_div, round_up
 from ..operators.artifacts import ITER_RANGE
-from ..operators.ordering import dense_index, group_value
+from ..operators.ordering import dense_index, group_value, running_sum
 from ..session import stored
 from ..sources.readers import spread
 
@@ -55,11 +55,20 @@ def events_as_steps(events: DataFrame) -> DataFrame:
     )
 
 
-def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as a step log of ten runs on four ranks; four micro batches make a step."""
+def steps(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """``events`` as a step log of ten runs on four ranks; four training passes make a step.
+
+    ``batch_idx`` orders all rows of a rank, ``passes`` counts its training passes alone, and a
+    validation belongs to the step that training has reached. Only ``columns`` are stored.
+    """
     rows = events_as_steps(table(spark, sf_dir, "events"))
-    indexed = dense_index(rows, F.col("event_id"), by=("run_id", "rank"), out="batch_idx")
-    return stored(indexed.withColumn("step", int_div(F.col("batch_idx"), F.lit(4))), "steps")
+    trains = (F.col("phase") == "train").cast("long")
+    one = F.lit(1).cast("long")
+    counted = running_sum(rows, {"__all": one, "passes": trains}, F.col("event_id"), by=("run_id", "rank"))
+    indexed = counted.withColumn("batch_idx", F.col("__all") - 1).withColumn(
+        "step", int_div(F.col("passes") - trains, F.lit(4))
+    )
+    return stored(indexed.select(*(columns or indexed.drop("__all").columns)), "steps")
 
 
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,6 +145,27 @@ def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def option_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem`` as budget options set in layers, one or more per run."""
+    kind = F.col("l_partkey") % 4
+    key = F.get(
+        F.array(*[F.lit(k) for k in ("training_goal", "batch_size", "micro_batch_size", "eval_interval")]), kind.cast("int")
+    )
+    value = (
+        F.when(kind == 0, F.col("l_suppkey") * 1000 + 50)
+        .when(kind == 1, (F.col("l_suppkey") % 8 + 1) * 16)
+        .when(kind == 2, F.lit(16))
+        .otherwise(F.col("l_suppkey") % 50 + 1)
+    )
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("run_id"),
+        key.alias("key"),
+        F.when(F.col("l_linenumber") == 7, 99).otherwise(F.col("l_linenumber") - 1).cast("long").alias("layer"),
+        F.col("l_suppkey").alias("seq"),
+        value.cast("long").alias("value"),
+    )
+
+
 def cache_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``customer`` as lookups of prepared datasets."""
     prints = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")

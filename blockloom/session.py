@@ -30,12 +30,14 @@ def local_session(cpus: int | str = 8, app: str = "blockloom", memory: str = "12
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the cluster's shared ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests, local runs) gets a local temporary folder, made
-    once per session.
+    A local session without that setting (tests, local runs) gets a temporary folder, made once per
+    session. On a cluster that would be another folder on every machine, so there it is an error.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="blockloom-"))
         root = context.getCheckpointDir()
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")

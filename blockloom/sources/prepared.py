@@ -22,6 +22,14 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hpath))
 
 
+def newest_first(spark: SparkSession, root: str, prefix: str = "stream_batch=") -> list[str]:
+    """Folders of micro-batches under ``root``, the latest batch first."""
+    fs, hpath = _fs(spark, root)
+    names = [s.getPath().toString() for s in (fs.listStatus(hpath) if fs.exists(hpath) else [])]
+    found = [p for p in names if p.rsplit("/", 1)[-1].startswith(prefix)]
+    return sorted(found, key=lambda p: -int(p.rsplit("=", 1)[-1]))
+
+
 def save_prepared(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """Write all splits, one folder per split."""
     df.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("split").parquet(path)
@@ -39,50 +47,64 @@ def fingerprint(**applied) -> str:
     return hashlib.sha256(json.dumps(applied, sort_keys=True, default=str).encode()).hexdigest()[:32]
 
 
-def cache_base(inputs: dict[str, str], block_size: int, tokenizer_name: str) -> str:
-    """The readable part of a dataset's folder name: input names, block size, tokenizer."""
-    names = ".".join(p.rstrip("/").rsplit("/", 1)[-1] for p in inputs.values())
-    return f"{names}.seq_len_{block_size}.tokenizer_{tokenizer_name.replace('/', '_')}"
+def input_identity(spark: SparkSession, inputs: dict[str, str]) -> list[tuple[str, str, int, int]]:
+    """Split, path, length and modification time of every file of the inputs, in order."""
+    found = []
+    for split, path in inputs.items():
+        fs, hpath = _fs(spark, path)
+        files = fs.listFiles(hpath, True)
+        while files.hasNext():
+            status = files.next()
+            found.append((split, status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return sorted(found)
 
 
-def cache_key(
+def dataset_group(
     inputs: dict[str, str],
     block_size: int,
     tokenizer_name: str,
-    tokenizer_fingerprint: str,
     n_shards: int,
     batch_rows: int,
+    identity: list | None = None,
     **more,
 ) -> str:
-    """Folder name of a dataset: its readable base and the digest of all that was applied."""
+    """Folder of the datasets that differ in the tokenizer's content only.
+
+    Input paths, what the files are (``input_identity``) and every parameter of packing decide it, so
+    a dataset of another corpus, or of the same file before it was rewritten, is never in it.
+    """
     digest = fingerprint(
         inputs=inputs,
+        identity=identity,
         block_size=block_size,
-        tokenizer=tokenizer_fingerprint,
+        tokenizer=tokenizer_name,
         n_shards=n_shards,
         batch_rows=batch_rows,
         **more,
     )
-    return f"{cache_base(inputs, block_size, tokenizer_name)}.fn_{digest}"
+    return f"blocks{block_size}-{digest}"
+
+
+def cache_key(tokenizer_fingerprint: str, **applied) -> str:
+    """Folder of a dataset: its group and, below it, the digest of the tokenizer."""
+    return f"{dataset_group(**applied)}/{fingerprint(tokenizer=tokenizer_fingerprint)}"
 
 
 def find_prepared(spark: SparkSession, root: str, key: str) -> tuple[str | None, bool]:
     """Path of a finished dataset and whether its key matches exactly.
 
-    Without an exact match the newest finished dataset of the same base is used, with a warning;
-    without either the path is ``None``.
+    Without an exact match the newest finished dataset of the same group is used, with a warning:
+    it was made by another version of the tokenizer. Without either the path is ``None``.
     """
     exact = f"{root.rstrip('/')}/{key}"
     if is_complete(spark, exact):
         return exact, True
-    base = key.rsplit(".fn_", 1)[0]
-    pattern = "".join("\\" + c if c in "{}[]*?\\" else c for c in base)
-    fs, hpath = _fs(spark, f"{root.rstrip('/')}/{pattern}.fn_*")
-    found = sorted(fs.globStatus(hpath) or [], key=lambda s: (-s.getModificationTime(), s.getPath().getName()))
-    for status in found:
+    fs, group = _fs(spark, exact.rsplit("/", 1)[0])
+    found = fs.listStatus(group) if fs.exists(group) else []
+    for status in sorted(found, key=lambda s: (-s.getModificationTime(), s.getPath().getName())):
         path = status.getPath().toString()
         if is_complete(spark, path):
-            warnings.warn(f"no prepared dataset {key}; using {path}, made by another version", stacklevel=2)
+            warnings.warn(f"no prepared dataset {key}; using {path}, made by another tokenizer version", stacklevel=2)
             return path, False
     return None, False
 

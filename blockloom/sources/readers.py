@@ -50,22 +50,21 @@ def file_place() -> list[Column]:
 def with_file_position(df: DataFrame, out: str = "row_idx") -> DataFrame:
     """Add the dense position of every row of a file scan; must come right after the scan.
 
-    The counts per block are written once to the shared scratch folder: the table has one row
-    per block of a file, and its size on disk lets Spark decide how to join it.
+    How a file is cut into blocks depends on the cores at the time of planning, so two scans may
+    differ. The scanned rows are therefore written to the shared scratch folder with their block
+    and place, and both the counts per block and the rows come from that one copy.
     """
     known = df if "__file" in df.columns else df.select("*", *file_place())
-    placed = known.withColumn("__id", F.monotonically_increasing_id())
+    placed = stored(known.withColumn("__id", F.monotonically_increasing_id()), "placed-rows")
     per_block = placed.groupBy("__file", "__block").agg(
         F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n")
     )
     earlier_blocks = Window.partitionBy("__file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    earlier_files = Window.partitionBy(F.lit(0)).orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
     per_file = per_block.groupBy("__file").agg(F.sum("__n").alias("__file_n"))
-    file_base = per_file.select("__file", F.coalesce(F.sum("__file_n").over(earlier_files), F.lit(0)).alias("__fb"))
     block_base = per_block.select(
         "__file", "__block", "__first", F.coalesce(F.sum("__n").over(earlier_blocks), F.lit(0)).alias("__bb")
     )
-    base = stored(block_base.join(file_base, "__file"), "blocks")
+    base = stored(block_base.join(_file_bases(per_file), "__file"), "blocks")
     return (
         placed.join(base, ["__file", "__block"])
         .withColumn(out, F.col("__fb") + F.col("__bb") + F.col("__id") - F.col("__first"))
@@ -73,6 +72,22 @@ def with_file_position(df: DataFrame, out: str = "row_idx") -> DataFrame:
     )
 
 
+def _file_bases(per_file: DataFrame) -> DataFrame:
+    """Rows in the files before each file; one row per file goes to one task."""
+    earlier = Window.partitionBy(F.lit(0)).orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
+    return per_file.select("__file", F.coalesce(F.sum("__file_n").over(earlier), F.lit(0)).alias("__fb"))
+
+
+def with_parquet_position(df: DataFrame, out: str = "row_idx") -> DataFrame:
+    """The same for Parquet, whose scans know each row's place in its file: nothing is copied."""
+    placed = df.select(
+        "*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at")
+    )
+    per_file = df.select(F.col("_metadata.file_path").alias("__file")).groupBy("__file")
+    base = stored(_file_bases(per_file.agg(F.count(F.lit(1)).alias("__file_n"))), "files")
+    return placed.join(base, "__file").withColumn(out, F.col("__fb") + F.col("__at")).drop("__file", "__at", "__fb")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(row_idx, text)``: one row per line, blank lines kept."""
     return with_file_position(_scan(spark, path, "text", False)).select("row_idx", "text")
@@ -80,7 +95,9 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_corpus(spark: SparkSession, path: str, fmt: str | None = None, multi_line: bool = True) -> DataFrame:
     """``(row_idx, text)`` from a file or folder; only the text column is read."""
-    return with_file_position(_scan(spark, path, fmt or corpus_format(path), multi_line)).select("row_idx", "text")
+    fmt = fmt or corpus_format(path)
+    rows = _scan(spark, path, fmt, multi_line)
+    return (with_parquet_position(rows) if fmt == "parquet" else with_file_position(rows)).select("row_idx", "text")
 
 
 def named_splits(
@@ -111,17 +128,29 @@ def explode_lines(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread rows over all cores when the input has fewer files than there are cores.
+    """Spread rows over all cores when the scan has fewer splits than there are cores.
 
-    A file with a single row group is read by one task, however many cores wait. Large inputs
-    have many files and pass through without a shuffle.
+    A file with a single row group is read by one task, however many cores wait. Large inputs have
+    many splits and pass through without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
+    if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, key)
 
 
-def corpus_preview(df: DataFrame, n: int = 2, idx: str = "row_idx") -> DataFrame:
-    """The first ``n`` rows of every split, by position."""
-    return df.filter(F.col(idx) < n)
+def corpus_preview(df: DataFrame, key: str, n: int = 2) -> DataFrame:
+    """The first ``n`` rows of every split by ``key``, with their position as ``row_idx``.
+
+    Splits are a handful of names. Each task keeps ``n`` rows of a split, and so does the last one;
+    nothing is numbered but these.
+    """
+    names = [r[0] for r in df.select("split").distinct().collect()]
+    first = None
+    for name in names:
+        some = df.filter(F.col("split").eqNullSafe(F.lit(name))).orderBy(key).limit(n)
+        first = some if first is None else first.unionByName(some)
+    if first is None:
+        return df.withColumn("row_idx", F.lit(0).cast("long")).limit(0)
+    rank = F.row_number().over(Window.partitionBy("split").orderBy(key))
+    return first.withColumn("row_idx", (rank - 1).cast("long"))

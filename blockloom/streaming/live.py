@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 from ..operators.packing import assign_batches, pack
 from ..operators.tokens import tokenize
 from ..schemas import PACK_BATCH_ROWS
+from ..sources.prepared import is_complete, newest_first
 from ..sources.readers import file_place, with_file_position
 
 COLUMNS = ("input_ids", "special_tokens_mask")
@@ -69,7 +70,10 @@ def stream_pack(
 
 
 def stream_totals(steps: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Samples and tokens per run so far; each micro-batch writes the runs it changed."""
+    """Samples and tokens per run so far; each micro-batch writes them for all runs.
+
+    There is one row per run, so a snapshot is small, and a reader needs the newest one only.
+    """
     seen = F.when((F.col("rank") == 0) & (F.col("phase") == "train"), F.col("batch_size") * F.col("devices"))
     totals = steps.groupBy("run_id").agg(
         F.coalesce(F.sum(seen), F.lit(0)).cast("long").alias("samples"),
@@ -80,7 +84,7 @@ def stream_totals(steps: DataFrame, out: str, checkpoint: str) -> StreamingQuery
         batch.write.mode("overwrite").parquet(f"{out}/stream_batch={batch_id}")
 
     return (
-        totals.writeStream.outputMode("update")
+        totals.writeStream.outputMode("complete")
         .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -89,7 +93,8 @@ def stream_totals(steps: DataFrame, out: str, checkpoint: str) -> StreamingQuery
 
 
 def read_totals(spark: SparkSession, out: str) -> DataFrame:
-    """Current totals: what the last micro-batch that touched a run wrote."""
-    rows = spark.read.parquet(out)
-    newest = F.max_by(F.struct("samples", "tokens"), "stream_batch").alias("t")
-    return rows.groupBy("run_id").agg(newest).select("run_id", "t.samples", "t.tokens")
+    """Current totals: the newest snapshot that was finished."""
+    for path in newest_first(spark, out):
+        if is_complete(spark, path):
+            return spark.read.parquet(path).select("run_id", "samples", "tokens")
+    raise FileNotFoundError(f"no finished totals at {out}")

@@ -106,13 +106,15 @@ def test_losses(spark):
 def test_system_metrics_skip_the_first_interval(spark, monkeypatch):
     mib = 2**20
     spans = [
-        (1, 0, 0, 0, 10_000_000, 5 * mib),
-        (1, 1, 0, 0, 12_000_000, 7 * mib),
-        (1, 0, 9, 30_000_000, 31_000_000, 3 * mib),
-        (1, 1, 9, 30_000_000, 33_000_000, 4 * mib),
+        (1, 0, 0, 0, 0, 10_000_000, 5 * mib),
+        (1, 0, 1, 0, 0, 12_000_000, 7 * mib),
+        (1, 0, 0, 9, 30_000_000, 31_000_000, 3 * mib),
+        (1, 0, 1, 9, 30_000_000, 33_000_000, 4 * mib),
+        # After a restart the pause is no interval.
+        (1, 1, 0, 12, 900_000_000, 901_000_000, 9 * mib),
     ]
     df = spark.createDataFrame(
-        spans, "run_id long, rank long, step long, start_us long, end_us long, peak_bytes long"
+        spans, "run_id long, session long, rank long, step long, start_us long, end_us long, peak_bytes long"
     )
     for size in (65_536, 4):
         monkeypatch.setattr(M, "STEP_RANGE", size)
@@ -130,10 +132,12 @@ def test_best_checkpoint_uses_the_loss_known_at_the_save(spark):
 
 
 def test_every_eleventh_event_acts(spark):
-    events = spark.range(40).select(F.lit(1).alias("run_id"), (F.col("id") * 3).alias("step"))
+    session = F.when(F.col("id") < 40, 0).otherwise(1).alias("session")
+    events = spark.range(60).select(F.lit(1).alias("run_id"), session, (F.col("id") * 3).alias("step"))
     acted = M.every_nth(events).collect()
-    assert sorted(r["event_no"] for r in acted) == [11, 22, 33]
-    assert sorted(r["step"] for r in acted) == [30, 63, 96]
+    # The count starts again with the second session.
+    assert sorted(r["event_no"] for r in acted) == [11, 11, 22, 33]
+    assert sorted(r["step"] for r in acted) == [30, 63, 96, 150]
 
 
 def test_checkpoint_name(spark):
@@ -142,6 +146,15 @@ def test_checkpoint_name(spark):
     assert name == "snap-100-samples-12800.0-6553600.0-loss-2.35"
 
 
+def test_diverged_numbers(spark):
+    inf, nan = float("inf"), float("nan")
+    named = spark.createDataFrame([(inf,), (-inf,), (nan,)], "v double")
+    shown = [r[0] for r in named.select(A.checkpoint_name(F.lit(1), F.lit(2), F.lit(3), F.col("v"))).collect()]
+    assert [s.rsplit("-loss-", 1)[1] for s in shown] == ["inf", "-inf", "nan"]
+    times = named.select(format_elapsed(F.col("v"))).collect()
+    assert [r[0] for r in times] == [None, None, None]
+
+
 ARTIFACTS = [
     # run, artifact, iteration, created, bytes, cache, aliases
     (1, 10, 0, 100, 5, 0, ["keep"]),

@@ -1,4 +1,5 @@
 import os
+import warnings
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,16 +108,21 @@ def test_cache_key_names_everything_applied():
         batch_rows=100,
     )
     key = S.cache_key(**base)
-    assert key.startswith("train.txt.val.txt.seq_len_512.tokenizer_org_name.fn_")
+    assert key.startswith("blocks512-") and key.count("/") == 1
     assert S.cache_key(**base) == key
     for change in (
         {"block_size": 256},
         {"tokenizer_fingerprint": "y"},
         {"n_shards": 5},
         {"batch_rows": 99},
+        {"tokenizer_name": "org/other"},
         {"inputs": {"train": "/e/train.txt", "val": "/d/val.txt"}},
+        {"identity": [("train", "/d/train.txt", 1, 2)]},
     ):
-        assert S.cache_key(**{**base, **change}) != key
+        other = S.cache_key(**{**base, **change})
+        assert other != key
+        # Only another content of the same tokenizer shares the folder that fallbacks look in.
+        assert (other.split("/")[0] == key.split("/")[0]) == ("tokenizer_fingerprint" in change)
 
 
 @pytest.fixture(scope="module")
@@ -132,33 +138,86 @@ def test_prepare_reuses_falls_back_and_rebuilds(spark, tmp_path, vocab):
     }
     root = str(tmp_path / "tokenized")
     args = (spark, inputs, root, vocab, "words", 8)
+
+    def made():
+        return sorted(f"{group}/{one}" for group in os.listdir(root) for one in os.listdir(f"{root}/{group}"))
+
     assert prepare(*args, n_shards=2, batch_rows=10, prepare_only=True) is None
-    made = os.listdir(root)
-    assert len(made) == 1
+    first = made()
+    assert len(first) == 1
     blocks = prepare(*args, n_shards=2, batch_rows=10)
-    assert os.listdir(root) == made
+    assert made() == first
     sizes = {(r["split"], len(r["input_ids"])) for r in blocks.collect()}
     # The validation batch is shorter than one block and is kept as it is.
     assert sizes == {("train", 8), ("val", 5)}
 
-    with pytest.warns(UserWarning, match="another version"):
-        prepare(*args, n_shards=3, batch_rows=10, prepare_only=True)
-    assert os.listdir(root) == made
-    prepare(*args, n_shards=3, batch_rows=10, force_rebuild=True, prepare_only=True)
-    assert len(os.listdir(root)) == 2
-    exact, same = S.find_prepared(spark, root, made[0])
-    assert same and exact.endswith(made[0])
-    assert S.find_prepared(spark, root, "other.fn_1") == (None, False)
+    # Another content of the same tokenizer falls back, with a warning, unless told to rebuild.
+    longer = T.load_vocab(T.build_vocab(spark.createDataFrame([("a b z",)], "text string"), 50))
+    with pytest.warns(UserWarning, match="another tokenizer version"):
+        prepare(spark, inputs, root, longer, "words", 8, n_shards=2, batch_rows=10, prepare_only=True)
+    assert made() == first
+    prepare(spark, inputs, root, longer, "words", 8, n_shards=2, batch_rows=10, force_rebuild=True, prepare_only=True)
+    assert len(made()) == 2
+    exact, same = S.find_prepared(spark, root, first[0])
+    assert same and exact.endswith(first[0])
+    assert S.find_prepared(spark, root, "other/1") == (None, False)
+
+
+def test_other_inputs_are_never_taken(spark, tmp_path, vocab):
+    """Equal file names elsewhere, other shards and a rewritten file all make their own datasets."""
+    root = str(tmp_path / "tokenized")
+    for name in "ab":
+        os.makedirs(tmp_path / name)
+        write(tmp_path / name / "train.txt", f"{name} {name}\n" * 30)
+
+    def ids(folder, shards=2):
+        inputs = {"train": str(tmp_path / folder / "train.txt")}
+        with warnings.catch_warnings():
+            warnings.simplefilter("error", UserWarning)
+            return {i for r in prepare(spark, inputs, root, vocab, "words", 8, n_shards=shards).collect() for i in r["input_ids"]}
+
+    assert ids("a") != ids("b")
+    ids("a", 3)
+    assert sum(len(os.listdir(f"{root}/{g}")) for g in os.listdir(root)) == 3
+    before = ids("a")
+    write(tmp_path / "a" / "train.txt", "c d\n" * 31)
+    assert ids("a") != before
 
 
 def test_unfinished_dataset_is_not_used(spark, tmp_path):
-    os.makedirs(tmp_path / "base.fn_1")
-    assert S.find_prepared(spark, str(tmp_path), "base.fn_1") == (None, False)
+    os.makedirs(tmp_path / "base" / "1")
+    assert S.find_prepared(spark, str(tmp_path), "base/1") == (None, False)
+    assert S.find_prepared(spark, str(tmp_path), "base/2") == (None, False)
+
+
+def test_positions_survive_another_split_of_the_scan(spark, tmp_path):
+    """A scan that is cut otherwise when the rows are read than when the plan was made loses nothing."""
+    path = write(tmp_path / "many.txt", "".join(f"line {i} of a file that is cut\n" for i in range(20_000)))
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    try:
+        for built, read in (("1m", "50k"), ("50k", "1m")):
+            spark.conf.set(name, built)
+            df = R.read_lines(spark, path)
+            spark.conf.set(name, read)
+            rows = sorted((r["row_idx"], r["text"]) for r in df.collect())
+            assert rows == [(i, f"line {i} of a file that is cut") for i in range(20_000)]
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_parquet_positions_survive_it_too(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    ids = spark.range(3000).select(F.format_string("t%d", "id").alias("text")).repartitionByRange(3, "text")
+    ids.write.option("parquet.block.size", 2000).parquet(path)
+    df = R.read_corpus(spark, path)
+    assert sorted(r["row_idx"] for r in df.collect()) == list(range(3000))
+    assert df.filter("row_idx < 2").count() == 2
 
 
 def test_spread_leaves_large_inputs_alone(spark, tmp_path):
     path = str(tmp_path / "many")
-    spark.range(100).repartition(6).write.parquet(path)
+    spark.range(100).repartition(40).write.parquet(path)
     df = spark.read.parquet(path)
     assert R.spread(df, "id") is df
     one = str(tmp_path / "one")
@@ -170,8 +229,8 @@ def test_spread_leaves_large_inputs_alone(spark, tmp_path):
 class FakeSession:
     """A session with or without the cluster's setting."""
 
-    def __init__(self, setting):
-        self.setting, self.made = setting, None
+    def __init__(self, setting, master="local[2]"):
+        self.setting, self.made, self.master = setting, None, master
         self.conf = self.sparkContext = self
 
     def get(self, name, default):
@@ -194,6 +253,13 @@ def test_scratch_folder_is_the_cluster_setting(tmp_path):
     assert first != second and os.path.dirname(first) == os.path.dirname(second) == local.made
 
 
+def test_cluster_without_the_setting_is_an_error(tmp_path):
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            scratch_dir(FakeSession(None, master), "x")
+        assert scratch_dir(FakeSession(str(tmp_path), master), "x").startswith(str(tmp_path))
+
+
 def test_stored_table_reads_back(spark):
     assert sorted(r["id"] for r in stored(spark.range(5), "x").collect()) == list(range(5))
 
