@@ -18,6 +18,7 @@ import re
 import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,46 +75,68 @@ class FastTokenizer:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.alphabet = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
-        self.plain = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
+        self.plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
         self.odd = re.compile(" (?![!-~À-ɏ])")
         self.cut = re.compile("(?= [!-~À-ɏ])")
+        self.space = chr(self.alphabet[32])
+        self.code = {2: "H", 4: "I"}[np.dtype(dtype).itemsize]
         self.memo: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+
+    def _piece(self, letters: str) -> bytes:
+        """Ids of a space and letters; many words are the same letters with other marks behind them."""
+        found = self.pieces.get(letters)
+        if found is None:
+            if letters.isascii():
+                shown = self.space + letters
+            else:
+                shown = self.space + letters.encode().decode("latin-1").translate(self.alphabet)
+            found = self.pieces[letters] = array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return found
+
+    def _mark(self, marks: str) -> bytes:
+        found = self.marks.get(marks)
+        if found is None:
+            found = self.marks[marks] = self._whole([marks])[0]
+        return found
 
-    def _piece(self, piece: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))]
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        return [array(self.code, e.ids).tobytes() for e in found]
 
     def _learn(self, words: set[str]) -> None:
-        rest = []
+        """Put the ids of words, each with a space before it, into the memo."""
+        rest, memo, piece, plain = [], self.memo, self._piece, self.plain.fullmatch
         for w in words:
-            found = self.plain.fullmatch(w)
+            found = plain(w)
             if found is None:
                 rest.append(w)
                 continue
-            ids = self._piece(found[1])
-            if found[2]:
-                ids += self._piece(found[2])
-            self.memo[w] = np.array(ids, self.dtype).tobytes()
-        for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)):
-            self.memo[w] = np.array(e.ids, self.dtype).tobytes()
+            letters, marks = found.groups()
+            memo[w] = piece(letters) + self._mark(marks) if marks else piece(letters)
+        memo.update(zip(rest, self._whole([" " + w for w in rest])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of every text as the bytes of an array."""
         if not self.by_word:
-            found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-            return [np.array(e.ids, self.dtype).tobytes() for e in found]
-        split = []
+            return self._whole(texts)
+        first, rest = [], []
         for t in texts:
             if self.odd.search(t):
-                split.append(self.cut.split(t))
+                head, *words = self.cut.split(t)
+                words = [w[1:] for w in words]
             else:
-                first, *rest = t.split(" ")
-                split.append([first, *[" " + w for w in rest]])
-        words = set().union(*split)
+                head, *words = t.split(" ")
+            first.append(head)
+            rest.append(words)
+        words = set().union(*rest)
         if len(self.memo) + len(words) > MEMO_WORDS:
-            self.memo.clear()
+            for memo in (self.memo, self.pieces, self.marks):
+                memo.clear()
         self._learn(words.difference(self.memo))
-        memo = self.memo
-        return [b"".join([memo[w] for w in s]) for s in split]
+        get = self.memo.__getitem__
+        return [head + b"".join(map(get, words)) for head, words in zip(self._whole(first), rest)]
 
 
 class _Writer:
