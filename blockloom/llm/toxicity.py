@@ -31,6 +31,8 @@ FEATURES = 8192
 SAMPLE_ROWS = 30_000
 L2 = 1.0
 STEPS = 200
+# Sampled rows that the regression goes through at a time.
+CHUNK_ROWS = 2_000
 THRESHOLD = 0.7
 
 
@@ -110,32 +112,50 @@ class ToxicityModel:
         return add_columns(docs, text, f"{out} double", kernel)
 
 
-def _fit(rows: list[tuple[np.ndarray, int]], ratio: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression with ridge penalty, both classes weighing the same, by accelerated descent."""
-    y = np.array([r[1] for r in rows], float)
-    at = np.concatenate([r[0] for r in rows]).astype(np.int64)
-    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+def _fit(flat: np.ndarray, offsets: np.ndarray, y: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic regression with ridge penalty, both classes weighing the same, by accelerated descent.
+
+    Row ``i`` has the features ``flat[offsets[i]:offsets[i + 1]]``. Rows are gone through in chunks, so
+    that besides the sample itself only a chunk is held.
+    """
+    n, size = len(y), len(ratio)
     scale = max(1e-9, np.abs(ratio).max())
-    x = ratio[at] / scale
+    value = ratio / scale
     share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+
+    def forward(w: np.ndarray) -> np.ndarray:
+        z, weighted = np.empty(n), value * w
+        for a in range(0, n, CHUNK_ROWS):
+            b = min(n, a + CHUNK_ROWS)
+            sums = np.concatenate([[0.0], np.cumsum(weighted[flat[offsets[a] : offsets[b]]])])
+            at = offsets[a : b + 1] - offsets[a]
+            z[a:b] = sums[at[1:]] - sums[at[:-1]]
+        return z
+
+    def backward(g: np.ndarray) -> np.ndarray:
+        total = np.zeros(size)
+        for a in range(0, n, CHUNK_ROWS):
+            b = min(n, a + CHUNK_ROWS)
+            spread = np.repeat(g[a:b], np.diff(offsets[a : b + 1]))
+            total += np.bincount(flat[offsets[a] : offsets[b]], spread, size)
+        return total * value
+
     # Lipschitz bound of the gradient from a few power iterations.
-    v = np.ones(len(ratio))
+    v, norm = np.ones(size), 1.0
     for _ in range(20):
-        u = np.bincount(row, x * v[at], len(rows)) + 0.0
-        v = np.bincount(at, x * (share * u)[row], len(ratio))
+        v = backward(share * forward(v))
         norm = np.linalg.norm(v) or 1.0
         v /= norm
-    penalty = L2 / max(1, len(rows))
+    penalty = L2 / max(1, n)
     rate = 1 / (0.25 * (norm + 1) + penalty)
-    w, b = np.zeros(len(ratio)), 0.0
+    w, b = np.zeros(size), 0.0
     pw, pb = w, b
     for step in range(STEPS):
         m = step / (step + 3)
         lw, lb = w + m * (w - pw), b + m * (b - pb)
-        z = np.bincount(row, x * lw[at], len(rows)) + lb
-        g = share * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
+        g = share * (1 / (1 + np.exp(-np.clip(forward(lw) + lb, -500, 500))) - y)
         pw, pb = w, b
-        w = lw - rate * (np.bincount(at, x * g[row], len(ratio)) + penalty * lw)
+        w = lw - rate * (backward(g) + penalty * lw)
         b = lb - rate * g.sum()
     return w / scale, b
 
@@ -192,10 +212,15 @@ def fit(
         return run
 
     rows = stored(add_columns(sample, "t", "present array<int>", kernel).select("present", "y"), "toxicity-sample")
-    drawn = [(np.array(r[0], np.int32), r[1]) for r in rows.limit(sample_rows).collect()]
-    if len({y for _, y in drawn}) < 2:
+    # As Arrow, four bytes a feature: rows of Python objects would be ten times as large.
+    drawn = rows.limit(sample_rows).toArrow().combine_chunks()
+    y = drawn["y"].to_numpy().astype(float)
+    if len(set(y.tolist())) < 2:
         return ToxicityModel(np.zeros(BUCKETS, np.float32), float(np.log(ones / zeros)))
-    w, bias = _fit(drawn, ratios)
+    counts = pa.compute.list_value_length(drawn["present"]).to_numpy()
+    offsets = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+    flat = pa.compute.list_flatten(drawn["present"]).to_numpy()
+    w, bias = _fit(flat, offsets, y, ratios)
     weight = np.zeros(BUCKETS, np.float32)
     weight[[r["bucket"] for r in chosen]] = w * ratios
     return ToxicityModel(weight, float(bias))
