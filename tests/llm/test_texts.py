@@ -188,7 +188,7 @@ def test_toxicity_learns_held_out_labels(spark, docs, empty):
     labels = df.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
     # Held-out labels are turned round: nothing may be learned from them.
     wrong = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
-    nulls = spark.createDataFrame([(None, 1, 1), (3, 1, None), (None, None, None)], labels.schema)
+    nulls = spark.createDataFrame([(None, 1, 1), (3, 1, None), (None, None, None)], "doc_id long, quality int, toxic int")
     model = toxicity.fit_on(df, wrong.unionByName(nulls))
     rows = model.score(df).collect()
     held = [r for r in rows if r["doc_id"] % 4 == 0]
