@@ -34,7 +34,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SEQUENCE = 2048
 # Sequences in a record batch: the memory of a writer, and the unit of random access.
 BATCH = 128
-MEMO_WORDS = 400_000
+# Words, and letters of words, that a worker remembers the ids of: about 200 bytes each.
+MEMO_WORDS = 600_000
 MANIFEST = "part int, ids_file string, docs_file string, n_docs long, n_tokens long"
 
 
@@ -132,8 +133,11 @@ class FastTokenizer:
             rest.append(words)
         words = set().union(*rest)
         if len(self.memo) + len(words) > MEMO_WORDS:
-            for memo in (self.memo, self.pieces, self.marks):
-                memo.clear()
+            self.memo.clear()
+            # Letters outlive their words: they make learning the words again cheap.
+            for memo in (self.pieces, self.marks):
+                if len(memo) + len(words) > MEMO_WORDS:
+                    memo.clear()
         self._learn(words.difference(self.memo))
         get = self.memo.__getitem__
         return [head + b"".join(map(get, words)) for head, words in zip(self._whole(first), rest)]
