@@ -160,45 +160,38 @@ def _fit(flat: np.ndarray, offsets: np.ndarray, y: np.ndarray, ratio: np.ndarray
     return w / scale, b
 
 
-def fit(
-    labelled: DataFrame,
-    text: str = "text",
-    label: str = "label",
-    order: Column | None = None,
-    features: int = FEATURES,
-    sample_rows: int = SAMPLE_ROWS,
-) -> ToxicityModel:
-    """Fit on rows with labels 0 and 1; rows with a null label are left out, null texts are empty.
+def _totals(rows: DataFrame, label: str) -> tuple[int, int]:
+    counted = {r[0]: r[1] for r in rows.groupBy(F.col(label).cast("int")).count().collect()}
+    return counted.get(0, 0), counted.get(1, 0)
 
-    ``order`` is the key of the sample: the ``sample_rows`` rows of smallest hash are drawn, so it
-    repeats exactly. Without rows of both classes the score is 0.5 or, with one class, the side of
-    it that the class is on.
-    """
-    src = labelled.filter(F.col(label).isNotNull())
-    totals = {r[0]: r[1] for r in src.groupBy(F.col(label).cast("int")).count().collect()}
-    zeros, ones = totals.get(0, 0), totals.get(1, 0)
-    if not zeros or not ones:
-        side = 0.0 if not zeros and not ones else (2.0 if ones else -2.0)
-        return ToxicityModel(np.zeros(BUCKETS, np.float32), side)
+
+def _drawn(order: Column, total: int, sample_rows: int) -> Column:
+    # Rows below a hash value, so that a draw never sorts all rows. It aims a little under the bound.
+    cut = int(-(2**63) + min(1.0, 0.97 * sample_rows / total) * (2**64 - 1)) if total > sample_rows else 2**63 - 1
+    return F.xxhash64(order) <= F.lit(cut)
+
+
+def _constant(zeros: int, ones: int) -> ToxicityModel:
+    side = 0.0 if not zeros and not ones else (2.0 if ones else -2.0)
+    return ToxicityModel(np.zeros(BUCKETS, np.float32), side)
+
+
+def _fit_drawn(
+    counts: DataFrame, sample: DataFrame, zeros: int, ones: int, text: str, label: str, features: int, sample_rows: int
+) -> ToxicityModel:
+    """The model of the counts over all rows and of the drawn rows."""
     p, q = (F.col("ones") + 1) / (ones + 2), (F.col("zeros") + 1) / (zeros + 2)
     ratio = F.log(p / (1 - p)) - F.log(q / (1 - q))
     # Ratio over its standard error: rare buckets with large ratios by chance come last.
     error = F.sqrt(
         1 / (F.col("ones") + 1) + 1 / (ones - F.col("ones") + 1) + 1 / (F.col("zeros") + 1) + 1 / (zeros - F.col("zeros") + 1)
     )
-    ranked = class_counts(src, text, label).select("bucket", ratio.alias("ratio"), F.abs(ratio / error).alias("z"))
+    ranked = counts.select("bucket", ratio.alias("ratio"), F.abs(ratio / error).alias("z"))
     chosen = ranked.orderBy(F.desc("z"), "bucket").limit(features).collect()
     index = np.full(BUCKETS, -1, np.int32)
     index[[r["bucket"] for r in chosen]] = np.arange(len(chosen))
     ratios = np.array([r["ratio"] for r in chosen])
 
-    draw = F.xxhash64(order if order is not None else F.col(text))
-    # Rows below a hash value, so that a draw never sorts all rows; the bound holds on average,
-    # the limit makes it hard.
-    total = zeros + ones
-    cut = int(-(2**63) + min(1.0, 1.05 * sample_rows / total) * (2**64 - 1)) if total > sample_rows else 2**63 - 1
-    sample = src.filter(draw <= F.lit(cut)).select(F.col(text).alias("t"), F.col(label).cast("int").alias("y"))
-
     def kernel():
         buckets = gram_kernel()
 
@@ -211,36 +204,87 @@ def fit(
 
         return run
 
-    rows = stored(add_columns(sample, "t", "present array<int>", kernel).select("present", "y"), "toxicity-sample")
+    drawn = sample.select(F.col(text).alias("t"), F.col(label).cast("int").alias("y"))
+    rows = stored(add_columns(drawn, "t", "present array<int>", kernel).select("present", "y"), "toxicity-sample")
+    # Only rows with very many copies of a key go over the bound; a limit puts all rows into one task.
+    if rows.count() > sample_rows:
+        rows = rows.limit(sample_rows)
     # As Arrow, four bytes a feature: rows of Python objects would be ten times as large.
-    drawn = rows.limit(sample_rows).toArrow().combine_chunks()
-    y = drawn["y"].to_numpy().astype(float)
+    found = rows.toArrow().combine_chunks()
+    y = found["y"].to_numpy().astype(float)
     if len(set(y.tolist())) < 2:
         return ToxicityModel(np.zeros(BUCKETS, np.float32), float(np.log(ones / zeros)))
-    counts = pa.compute.list_value_length(drawn["present"]).to_numpy()
-    offsets = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-    flat = pa.compute.list_flatten(drawn["present"]).to_numpy()
+    sizes = pa.compute.list_value_length(found["present"]).to_numpy()
+    offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    flat = pa.compute.list_flatten(found["present"]).to_numpy()
     w, bias = _fit(flat, offsets, y, ratios)
     weight = np.zeros(BUCKETS, np.float32)
     weight[[r["bucket"] for r in chosen]] = w * ratios
     return ToxicityModel(weight, float(bias))
 
 
+def fit(
+    labelled: DataFrame,
+    text: str = "text",
+    label: str = "label",
+    order: Column | None = None,
+    features: int = FEATURES,
+    sample_rows: int = SAMPLE_ROWS,
+) -> ToxicityModel:
+    """Fit on rows with labels 0 and 1; rows with a null label are left out, null texts are empty.
+
+    ``order`` is the key of the sample: about ``sample_rows`` rows of smallest hash, never more, are
+    drawn, so it repeats exactly. Without rows of both classes the score is 0.5 or, with one class,
+    the side of it that the class is on.
+    """
+    src = labelled.filter(F.col(label).isNotNull())
+    zeros, ones = _totals(src, label)
+    if not zeros or not ones:
+        return _constant(zeros, ones)
+    sample = src.filter(_drawn(order if order is not None else F.col(text), zeros + ones, sample_rows))
+    return _fit_drawn(class_counts(src, text, label), sample, zeros, ones, text, label, features, sample_rows)
+
+
 def held_out(key: Column) -> Column:
     """Rows whose labels are never learned from."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
+def known_labels(labels: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``(key, label)``, one row per key, of the labels 0 and 1 that are not held out."""
+    known = labels.select(F.col(key).alias(key), F.col("toxic").alias("label")).filter("label in (0, 1)")
+    return known.filter(~held_out(F.col(key))).groupBy(key).agg(F.max("label").alias("label"))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, text, label)`` of the labelled documents that are not held out.
 
     Documents or labels without a key are never joined, and neither are labels other than 0 and 1.
     """
-    known = labels.select(F.col(key).alias("k"), F.col("toxic").alias("label")).filter("label in (0, 1)")
-    known = known.filter(~held_out(F.col("k"))).groupBy("k").agg(F.max("label").alias("label"))
-    src = docs.select(F.col(key).alias("k"), F.col(text).alias("text"))
-    return src.join(known, "k").select(F.col("k").alias(key), "text", "label")
+    src = docs.select(F.col(key).alias(key), F.col(text).alias("text"))
+    # Labels grow with the corpus: the join is the same at every size.
+    return src.join(known_labels(labels, key).hint("merge"), key)
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> ToxicityModel:
-    return fit(training_rows(docs, labels, key, text), "text", "label", F.col(key))
+def fit_on(
+    docs: DataFrame,
+    labels: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    features: int = FEATURES,
+    sample_rows: int = SAMPLE_ROWS,
+) -> ToxicityModel:
+    """``fit`` on the training rows of ``docs``; texts are shuffled once, for the counts.
+
+    Totals come from keys alone. The sample is drawn among the keys, too: at most twice its bound,
+    they are broadcast to the documents.
+    """
+    keys = docs.select(F.col(key).alias(key)).join(known_labels(labels, key), key)
+    zeros, ones = _totals(keys, "label")
+    if not zeros or not ones:
+        return _constant(zeros, ones)
+    drawn = keys.filter(_drawn(F.col(key), zeros + ones, sample_rows)).distinct().limit(2 * sample_rows)
+    drawn = stored(drawn, "toxicity-drawn")
+    sample = docs.select(F.col(key).alias(key), F.col(text).alias("text")).join(F.broadcast(drawn), key)
+    counts = class_counts(training_rows(docs, labels, key, text), "text", "label")
+    return _fit_drawn(counts, sample, zeros, ones, "text", "label", features, sample_rows)
