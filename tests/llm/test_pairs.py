@@ -6,11 +6,12 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from brute import components, fingerprint, named
+from brute import components, fingerprint, lower, named
 from pyspark.sql import functions as F
 
-from blockloom.llm import exact_dedup, simhash
+from blockloom.llm import exact_dedup, jaccard, simhash
 from blockloom.llm.components import connected_components
+from blockloom.llm.rows import snapshot
 
 
 def test_near_duplicates_equal_brute_force(docs, texts):
@@ -119,3 +120,44 @@ def test_store_keeps_many_shards(spark):
     )
     found = store.lookup(asked)
     assert sorted((r["member"], r["old_winner"] or 0) for r in found.collect()) == [(False, 0)] + [(True, i) for i in range(490, 500)]
+
+
+def _edited(rng, text, share):
+    return " ".join("edit" + str(rng.randrange(10**6)) if rng.random() < share else w for w in text.split())
+
+
+@pytest.mark.parametrize("common", [10, 2])
+def test_jaccard_components_equal_brute_force(spark, docs, texts, monkeypatch, common):
+    """Copies of about 60 to 600 words with words changed, most of them more than 3 bits apart."""
+    from brute import words_of
+
+    rng = random.Random(3)
+    rows = list(texts)
+    for at, n in enumerate((8, 9, 12, 60, 60, 90, 150, 300, 600)):
+        base = words_of(900 + at, n)
+        rows += [(1000 + 20 * at + i, _edited(rng, base, 0.03) + " a very common line of words at the end") for i in range(12)]
+        rows += [(1015 + 20 * at, base.upper()), (1016 + 20 * at, base + " one more")]
+    monkeypatch.setattr(jaccard, "COMMON", common)
+    snap = snapshot(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "test")
+    got = sorted(((r["doc_id"], r["component"]) for r in jaccard.near_duplicates(snap).collect()), key=str)
+
+    def sets(text):
+        w = lower(text).split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    every = [sets(t) for _, t in rows]
+    root = list(range(len(rows)))
+    pairs = [(i, j) for j in range(len(rows)) for i in range(j) if 5 * len(every[i] & every[j]) >= 4 * len(every[i] | every[j])]
+    for _ in rows:
+        before = list(root)
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+        if root == before:
+            break
+    assert got == sorted(zip([i for i, _ in rows], named([i for i, _ in rows], root)), key=str)
+    fps = [fingerprint(t) for _, t in rows]
+    assert sum((fps[i] ^ fps[j]).bit_count() > 3 for i, j in pairs) > 20
+
+
+def test_jaccard_of_nothing(empty):
+    assert jaccard.near_duplicates(snapshot(empty, "test")).collect() == []
