@@ -124,6 +124,13 @@ def test_personal_data(spark, empty):
     assert pii.find_pii(empty).collect() == []
 
 
+def test_cards_without_adjacent_digits(spark):
+    rows = [(1, "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1"), (2, "4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1"), (3, "4 1 1"), (4, "4  1 a 1")]
+    found = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: [tuple(s) for s in r["base"]] for r in found} == {i: plain_pii(t) for i, t in rows}
+    assert sum(len(r["base"]) for r in found) == 2
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([("mail a@b.cd or +1 (743) 555-3824.",)], "text string")
     spans = F.array(*[F.struct(F.lit(a).cast("long").alias("start"), F.lit(k).alias("kind"), F.lit(b).cast("long").alias("end")) for a, k, b in plain_pii(df.first()[0])])
