@@ -1,23 +1,25 @@
 """Secret scans by a recursive decoding worklist.
 
 Every text is the first layer of a worklist. A layer is scanned for secrets and searched for
-encoded parts: URL escapes, Unicode escapes and character references, base64, and compressed bytes
-inside base64. What a part decodes to is a new layer, unless a layer with the same content was
-seen in this text before; the list runs dry at the fixpoint. Each layer keeps, for its characters,
-where they come from in the text, so a find in any layer is a span of the text.
+encoded parts: URL escapes, Unicode escapes and character references, each decoded over the whole
+layer; base64 and compressed bytes. Bytes are text of one character each. What is decoded is a new
+layer, unless a layer with the same content from the same places was seen in this text before; the
+list runs dry at the fixpoint. Each layer keeps, for its characters, where they come from in the
+text, so a find in any layer is a span of the text.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bisect
 import bz2
 import html
+import itertools
 import lzma
 import re
 import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -37,17 +39,33 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 
-URL_PART = re.compile(r"[!-~]*%[0-9A-Fa-f]{2}[!-~]*")
 URL_ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_ESCAPE = re.compile(
     r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&[A-Za-z]{2,8};"
 )
-UNICODE_PART = re.compile(r"[!-~]*(?:\\[uUx]|&)[!-~]*")
+# Bytes as programs print them: other control characters and the backslash have short escapes.
+BYTES_ESCAPE = re.compile(r"""\\x[0-9A-Fa-f]{2}|\\[nrtabfv0\\'"]""")
+SHORT = {"n": "\n", "r": "\r", "t": "\t", "a": "\a", "b": "\b", "f": "\f", "v": "\v", "0": "\0"}
 BASE64_PART = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+# Base64 over several lines; a line that is not full ends it by itself, what follows is only out of step.
+BASE64_LINES = re.compile(
+    r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++(?=[\s=]|\Z))++={0,2}"
+)
+BASE64_OTHER = re.compile(r"[^A-Za-z0-9+/_-]+")
+# How the streams of gzip, bzip2, xz and zlib begin.
+STREAM = re.compile("\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|x[\x01^\x9c\xda]")
+# Without one of these, decoded bytes hold neither a secret nor another layer.
+WORTH = re.compile(
+    STREAM.pattern
+    + r"|(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{16}|[A-Za-z0-9+/_-]{16}|%[0-9A-Fa-f]{2}|\\[uUx]|&[#A-Za-z]"
+)
 
 # A compressed stream is unwrapped in pieces that overlap, so memory is bounded by the piece and
 # not by what a stream unfolds to.
 PIECE_BYTES, OVERLAP_BYTES = 4 << 20, 64 << 10
+# Streams directly inside each other that are unwrapped on the fly; deeper ones are layers of their own.
+MOST_WRAPS = 16
+WIDE = re.compile("[^\x00-\xff]")
 
 
 def find_secrets(text: str) -> list[tuple[int, int, int]]:
@@ -69,7 +87,12 @@ class Layer:
 
     def __init__(self, text: str, marks: list[int], origins: list[tuple[int, int]]):
         self.text, self.marks, self.origins = text, marks, origins
-        self.key = blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        places = array("q", marks)
+        for origin in origins:
+            places.extend(origin)
+        digest = blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16)
+        digest.update(places.tobytes())
+        self.key = digest.digest()
 
     def _place(self, at: int) -> tuple[int, int]:
         i = bisect.bisect_right(self.marks, at) - 1
@@ -84,56 +107,76 @@ class Layer:
         """The span of the original text behind ``text[start:end]``."""
         return self._place(start)[0], self._place(end - 1)[1]
 
-    def inner(self, pieces: list[tuple[str, int, int]]) -> Layer:
-        """A layer made of pieces ``(text, start, end)`` decoded from spans of this one."""
+    def inner(self, pieces: list[tuple[str | None, int, int]]) -> Layer:
+        """A layer made of pieces ``(text, start, end)`` of this one: decoded, or taken over where
+        the text is None. What is taken over keeps the origin of every character."""
         marks, origins, texts, at = [], [], [], 0
+        last = None
+
+        def add(size: int, begin: int, end: int) -> None:
+            nonlocal at, last
+            plain = size == end - begin
+            # Stretches mapped one to one are joined, so equal layers look the same however they came about.
+            if plain and last == begin:
+                origins[-1] = (origins[-1][0], end)
+            else:
+                marks.append(at)
+                origins.append((begin, end))
+            last = end if plain else None
+            at += size
+
         for text, start, end in pieces:
             if text:
-                marks.append(at)
-                origins.append(self.span(start, end))
                 texts.append(text)
-                at += len(text)
+                add(len(text), *self.span(start, end))
+            elif text is None and start < end:
+                texts.append(self.text[start:end])
+                i = bisect.bisect_right(self.marks, start) - 1
+                while start < end:
+                    mark, origin = self.marks[i], self.origins[i]
+                    stop = self.marks[i + 1] if i + 1 < len(self.marks) else len(self.text)
+                    upto = min(end, stop)
+                    if stop - mark == origin[1] - origin[0]:
+                        add(upto - start, origin[0] + start - mark, origin[0] + upto - mark)
+                    elif start == mark and upto == stop:
+                        add(upto - start, *origin)
+                    else:
+                        # Part of a stretch comes from all of its origin, character by character if as long.
+                        whole = upto - start != origin[1] - origin[0]
+                        for size in [upto - start] if whole else [1] * (upto - start):
+                            add(size, *origin)
+                    start, i = upto, i + 1
         return Layer("".join(texts), marks, origins)
 
 
-def _readable(data: bytes) -> str | None:
-    """The text of decoded bytes, or None if they are not text."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    odd = sum(1 for c in text if not (c.isprintable() or c in "\t\r\n"))
-    return text if text and odd * 20 <= len(text) else None
-
-
-def _escapes(layer: Layer, start: int, end: int, pattern: re.Pattern, decode) -> Layer | None:
-    """A part in which every match of ``pattern`` is decoded and the rest stays; None if nothing changes."""
-    pieces, at, changed = [], start, False
-    for m in pattern.finditer(layer.text, start, end):
+def _escapes(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
+    """The layer with every match of ``pattern`` decoded and the rest as it is; None if nothing changes."""
+    pieces, at, changed = [], 0, False
+    for m in pattern.finditer(layer.text):
         new = decode(m.group())
         if new is None:
             continue
-        if m.start() > at:
-            pieces.append((layer.text[at : m.start()], at, m.start()))
+        pieces.append((None, at, m.start()))
         pieces.append((new, m.start(), m.end()))
         at, changed = m.end(), True
     if not changed:
         return None
-    if at < end:
-        pieces.append((layer.text[at:end], at, end))
+    pieces.append((None, at, len(layer.text)))
     return layer.inner(pieces)
 
 
-def _url(escaped: str) -> str | None:
-    data = bytes.fromhex(escaped.replace("%", ""))
-    try:
-        return data.decode("utf-8")
-    except UnicodeDecodeError:
-        return data.decode("latin-1")
+def _url(escaped: str) -> str:
+    # One character per byte: secrets and encoded parts are ASCII, and compressed bytes stay whole.
+    return bytes.fromhex(escaped.replace("%", "")).decode("latin-1")
 
 
 def _unicode(escaped: str) -> str | None:
     if escaped[0] == "&":
+        if escaped[1] == "#":
+            code = int(escaped[3:-1], 16) if escaped[2] in "xX" else int(escaped[2:-1])
+            # HTML reads some of these as Windows-1252 or drops them; here they are bytes.
+            if code < 256:
+                return chr(code)
         plain = html.unescape(escaped)
         return plain if plain != escaped else None
     digits = escaped[2:].strip("{}")
@@ -141,84 +184,148 @@ def _unicode(escaped: str) -> str | None:
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
-def _unpacked(data: bytes) -> Iterator[bytes]:
-    """The content of a compressed stream in overlapping pieces; nothing if it is none."""
-    if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0):
-        unzip = zlib.decompressobj(47)
+def _byte(escaped: str) -> str:
+    return chr(int(escaped[2:], 16)) if escaped[1] == "x" else SHORT.get(escaped[1], escaped[1])
+
 
-        def more(chunk):
-            return unzip.decompress(chunk, PIECE_BYTES), unzip.unconsumed_tail
-    elif data[:3] == b"BZh":
-        unzip = bz2.BZ2Decompressor()
+def _opened(data: bytes):
+    """A decompressor for the stream at the start of ``data``, or None."""
+    m = STREAM.match(data[:8].decode("latin-1"))
+    if not m:
+        return None
+    if m.group()[0] == "B":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor() if m.group()[0] == "\xfd" else zlib.decompressobj(47)
 
-        def more(chunk):
-            return unzip.decompress(chunk, PIECE_BYTES), b""
-    elif data[:6] == b"\xfd7zXZ\x00":
-        unzip = lzma.LZMADecompressor()
 
-        def more(chunk):
-            return unzip.decompress(chunk, PIECE_BYTES), b""
-    else:
-        return
-    tail, chunk = b"", data
-    while True:
-        try:
-            got, chunk = more(chunk)
-        except (zlib.error, OSError, EOFError, lzma.LZMAError):
-            return
-        if not got:
-            return
-        yield tail + got
-        tail = got[-OVERLAP_BYTES:]
-        if unzip.eof:
-            return
+class Stream:
+    """The content of a compressed stream and of those that follow it at once, in bounded chunks.
 
+    ``rest`` is how much of the input is left after the last of them.
+    """
 
-def _text_of(data: bytes) -> str:
-    return data.decode("utf-8", "replace")
+    def __init__(self, source: Iterator[bytes]):
+        self.source, self.rest = source, 0
+
+    def __iter__(self) -> Iterator[bytes]:
+        unzip, data = None, b""
+        for chunk in self.source:
+            data += chunk
+            while data:
+                if unzip is None:
+                    if len(data) < 8 and (more := next(self.source, b"")):
+                        data += more
+                        continue
+                    unzip = _opened(data)
+                    if unzip is None:
+                        self.rest = len(data)
+                        return
+                try:
+                    got = unzip.decompress(data, PIECE_BYTES)
+                    while got or not getattr(unzip, "needs_input", True):
+                        if got:
+                            yield got
+                        if unzip.eof:
+                            break
+                        data = unzip.unconsumed_tail if hasattr(unzip, "unconsumed_tail") else b""
+                        got = unzip.decompress(data, PIECE_BYTES)
+                except (zlib.error, OSError, EOFError, lzma.LZMAError):
+                    return
+                data = unzip.unused_data if unzip.eof else b""
+                if unzip.eof:
+                    unzip = None
+
+
+def _pieces(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """Chunks put together to pieces that overlap."""
+    held, new = b"", 0
+    for chunk in chunks:
+        held, new = held + chunk, new + len(chunk)
+        if new >= PIECE_BYTES:
+            yield held
+            held, new = held[-OVERLAP_BYTES:], 0
+    if new:
+        yield held
+
+
+def _unfolded(source: Iterator[bytes]) -> Iterator[bytes]:
+    """Content of a stream to the bottom: what begins as a stream itself is unwrapped without being held."""
+    for _ in range(MOST_WRAPS):
+        first = next(source, b"")
+        while first and len(first) < 8 and (more := next(source, b"")):
+            first += more
+        source = itertools.chain([first] if first else [], source)
+        if _opened(first) is None:
+            break
+        source = iter(Stream(source))
+    return source
+
+
+def _streams(layer: Layer) -> Iterator[Layer]:
+    """Layers out of the compressed bytes of a layer, wherever they begin."""
+    text, at = layer.text, 0
+    while m := STREAM.search(text, at):
+        start = m.start()
+        wide = WIDE.search(text, start)
+        stop = wide.start() if wide else len(text)
+        stream = Stream(iter([text[start:stop].encode("latin-1")]))
+        found = False
+        for piece in _pieces(_unfolded(iter(stream))):
+            found = True
+            yield layer.inner([(piece.decode("latin-1"), start, stop - stream.rest)])
+        at = stop - stream.rest if found and stream.rest else start + 1
 
 
 def _base64(layer: Layer, start: int, end: int) -> Iterator[Layer]:
-    raw = layer.text[start:end]
-    body = raw.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        body = body[:-1]
-    try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except binascii.Error:
-        return
-    text = _readable(data)
-    if text is not None:
-        # Four characters of base64 are three bytes; a character comes from the groups of its bytes.
-        if text.isascii():
-            pieces = [(text[i : i + 3], start + i // 3 * 4, min(end, start + i // 3 * 4 + 4)) for i in range(0, len(text), 3)]
-        else:
-            pieces, at = [], 0
-            for c in text:
-                n = len(c.encode())
-                pieces.append((c, start + at // 3 * 4, min(end, start + ((at + n - 1) // 3 + 1) * 4)))
-                at += n
+    """What a part decodes to from each of four starts: a blob behind a path or a name begins at one of them."""
+    raw = layer.text[start:end].rstrip("=")
+    gaps, kept = [], []
+    at = size = 0
+    for gap in BASE64_OTHER.finditer(raw):
+        kept.append(raw[at : gap.start()])
+        size += gap.start() - at
+        at = gap.end()
+        # From this character of the body on, so much lies between it and the start.
+        gaps.append((size, at - size))
+    body = ("".join(kept) + raw[at:]).replace("-", "+").replace("_", "/")
+    froms = [g[0] for g in gaps]
+
+    def place(i: int) -> int:
+        return start + i + (gaps[bisect.bisect_right(froms, i) - 1][1] if froms and i >= froms[0] else 0)
+
+    for skip in range(4):
+        size = len(body) - skip
+        size -= size % 4 == 1
+        if size < 2:
+            continue
+        data = base64.b64decode(body[skip : skip + size] + "=" * (-size % 4))
+        text = data.decode("latin-1")
+        if not WORTH.search(text):
+            continue
+        # Four characters of base64 are three bytes; a character comes from the group of its byte.
+        pieces = [
+            (text[i : i + 3], place(skip + i // 3 * 4), min(end, place(min(skip + i // 3 * 4 + 3, len(body) - 1)) + 1))
+            for i in range(0, len(text), 3)
+        ]
+        if skip + size == len(body):
+            pieces[-1] = (*pieces[-1][:2], min(end, pieces[-1][1] + 4) if not gaps else pieces[-1][2])
         yield layer.inner(pieces)
-        return
-    for piece in _unpacked(data):
-        yield layer.inner([(_text_of(piece), start, end)])
 
 
 def decoded_layers(layer: Layer) -> Iterator[Layer]:
     """All layers one step below."""
     text = layer.text
-    if "%" in text:
-        for m in URL_PART.finditer(text):
-            new = _escapes(layer, m.start(), m.end(), URL_ESCAPE, _url)
-            if new:
-                yield new
-    if "\\" in text or "&" in text:
-        for m in UNICODE_PART.finditer(text):
-            new = _escapes(layer, m.start(), m.end(), UNICODE_ESCAPE, _unicode)
-            if new:
-                yield new
+    if "%" in text and (new := _escapes(layer, URL_ESCAPE, _url)):
+        yield new
+    if ("\\" in text or "&" in text) and (new := _escapes(layer, UNICODE_ESCAPE, _unicode)):
+        yield new
+    if "\\x" in text and (new := _escapes(layer, BYTES_ESCAPE, _byte)) and STREAM.search(new.text):
+        yield new
+    yield from _streams(layer)
     for m in BASE64_PART.finditer(text):
         yield from _base64(layer, m.start(), m.end())
+    for m in BASE64_LINES.finditer(text):
+        yield from _base64(layer, m.start(), m.end())
 
 
 def scan_text(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

@@ -206,3 +206,75 @@ def test_toxicity_learns_held_out_labels(spark, docs, empty):
     assert model.score(empty).collect() == []
     for some in (labels.limit(0), labels.filter("toxic = 0"), labels.filter("toxic = 1")):
         assert toxicity.fit_on(df, some).score(df.limit(3)).count() == 3
+
+
+def kinds_in(text):
+    return {k for _, k, _ in secrets.scan_text(text)[1]}
+
+
+def test_repeated_encoded_secrets_are_all_found():
+    for part in (base64.b64encode(SECRET.encode()).decode(), urllib.parse.quote(SECRET, safe="")):
+        text = f"{part} one\n{part} two {part}"
+        spans = secrets.scan_text(text)[1]
+        for at in (0, len(part) + 5, 2 * len(part) + 10):
+            assert {k for a, k, b in spans if at <= a < b <= at + len(part)} == {0, 1, 2}
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "password%3A hunter2hunter2",
+        "secret&#61; abcdefghijklmnop",
+        "&quot;api_key&quot;: &quot;Zk3Zk3Zk3Zk3Zk3&quot;",
+        "ü &#112;assword%3A hunter2hunter2 é",
+    ],
+)
+def test_escapes_next_to_plain_spaces(text):
+    (found,) = secrets.scan_text(text)[1]
+    assert found[1] == 0 and text[found[0] : found[2]].strip('&quot;')
+    assert found[2] >= len(text.rstrip(" é").removesuffix("&quot;"))
+
+
+def test_compressed_in_compressed_and_escaped():
+    import bz2
+    import lzma
+    import zlib
+
+    data = SECRET.encode()
+    noise = random_bytes(3000)
+    for packed in (
+        gzip.compress(gzip.compress(data)),
+        gzip.compress(zlib.compress(bz2.compress(lzma.compress(data)))),
+        gzip.compress(noise) + gzip.compress(data),
+        bz2.compress(noise) + bz2.compress(data),
+        lzma.compress(noise) + lzma.compress(data),
+        gzip.compress(b"head " + zlib.compress(data) + b" tail"),
+    ):
+        assert kinds_in("x " + base64.b64encode(packed).decode() + " y") == {0, 1, 2}
+        assert kinds_in("x=" + urllib.parse.quote(packed, safe="") + " y") == {0, 1, 2}
+        assert kinds_in("x " + "".join(f"\\x{b:02x}" for b in packed) + " y") == {0, 1, 2}
+        assert kinds_in("x " + repr(packed) + " y") == {0, 1, 2}
+        assert kinds_in("x " + "".join(f"&#{b};" for b in packed) + " y") == {0, 1, 2}
+
+
+def random_bytes(n):
+    import random
+
+    return random.Random(n).randbytes(n)
+
+
+def test_base64_out_of_step_wrapped_and_damaged():
+    data = SECRET.encode()
+    part = base64.b64encode(data).decode()
+    for lead in ("/v1/blob/", "cfg_", "a-", "ab/", "abc_", "id+"):
+        text = f"see {lead}{part}."
+        spans = secrets.scan_text(text)[1]
+        assert {k for _, k, _ in spans} == {0, 1, 2}
+        assert all(4 + len(lead) <= a < b <= len(text) - 1 for a, _, b in spans)
+    for inner in (b"-" * 50 + data, gzip.compress(random_bytes(400) + data)):
+        whole = base64.b64encode(inner).decode()
+        for end in ("\n", "\r\n", "\n    "):
+            text = "key:\n" + end.join(whole[i : i + 76] for i in range(0, len(whole), 76)) + "\nend"
+            assert kinds_in(text) == {0, 1, 2}
+    for damaged in (b"\xff" + data, b"\x01\x02\x03\x04\x05\x06\x07" + data + b"\xfe\x00\x00\x00\x00"):
+        assert kinds_in(base64.b64encode(damaged).decode()) == {0, 1, 2}
