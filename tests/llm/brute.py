@@ -37,6 +37,32 @@ def components(fps, most=3):
     return [find(i) for i in range(len(fps))]
 
 
+def alike(texts):
+    """Set number of each position: linked are texts with a Jaccard similarity of 0.8 or more of five-word shingles."""
+    from collections import Counter, defaultdict
+
+    every, holders, root = [], defaultdict(list), list(range(len(texts)))
+    for t in texts:
+        w = lower(t).encode().split()
+        every.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    pairs, wordless = [], None
+    for j, s in enumerate(every):
+        if not s:
+            wordless = j if wordless is None else wordless
+            pairs.append((wordless, j))
+        for i, common in Counter(i for x in s for i in holders[x]).items():
+            if 5 * common >= 4 * (len(s) + len(every[i]) - common):
+                pairs.append((i, j))
+        for x in s:
+            holders[x].append(j)
+    before = None
+    while root != before:
+        before = list(root)
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+    return root
+
+
 def named(keys, sets):
     """Smallest key of each position's set, nulls last."""
     best = {}

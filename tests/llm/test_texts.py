@@ -2,6 +2,7 @@
 
 import base64
 import gzip
+import random
 import urllib.parse
 
 import public_tokenizers
@@ -131,6 +132,37 @@ def test_cards_without_adjacent_digits(spark):
     assert sum(len(r["base"]) for r in found) == 2
 
 
+def test_addresses_with_zero_parts(spark):
+    parts = ["0", "00", "000", "7", "10", "0255", "255", "256", "0256", "199", "260", "1000"]
+    rng = random.Random(2)
+    texts = ["10.0.0.1 192.168.0.1 127.0.0.1 0.0.0.0 1.2.3.00", "0.0.0.256"] + [".".join(rng.choices(parts, k=rng.randint(3, 9))) for _ in range(400)]
+    rows = list(enumerate(texts))
+    found = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: [tuple(s) for s in r["base"]] for r in found} == {i: plain_pii(t) for i, t in rows}
+    assert len(plain_pii(texts[0])) == 5
+
+
+def test_base_spans_of_random_texts(spark):
+    rng = random.Random(11)
+    marks = ["@", ".", "+", " ", "-", "(", ")", "a", "b_", "Z9", "0", "1", "25", "4111", "555", "é", "🎉", "@x.y", "  ", "\n"]
+    rows = list(enumerate("".join(rng.choices(marks, k=rng.randint(1, 60))) for _ in range(3000)))
+    found = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: [tuple(s) for s in r["base"]] for r in found} == {i: plain_pii(t) for i, t in rows}
+
+
+def test_the_draw_of_candidates_is_repeatable(spark):
+    texts = [f"mail u{i}@site{i % 7}.org from 10.0.{i % 300}.{i % 256} or card 4111 1111 1111 {i:04d}" for i in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def thresholds(n):
+        src = rows.repartition(n).select(F.monotonically_increasing_id().alias(ROW), "text")
+        scanned = src.select(ROW, pii.candidates_in(F.col("text")).alias("candidates"))
+        forest, limits = pii.fit(pii.with_features(pii.with_checks(pii.with_offsets(scanned))), sample=100)
+        return str(forest.column(list(pii.FEATURES))), limits
+
+    assert thresholds(1) == thresholds(5)
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([("mail a@b.cd or +1 (743) 555-3824.",)], "text string")
     spans = F.array(*[F.struct(F.lit(a).cast("long").alias("start"), F.lit(k).alias("kind"), F.lit(b).cast("long").alias("end")) for a, k, b in plain_pii(df.first()[0])])
