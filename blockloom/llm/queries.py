@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_dir
-from . import decontaminate, exact_dedup, html_extract, pii, secrets, sentencepiece_codec, simhash, token_files, token_rollup, toxicity
+from ..session import scratch_dir, stored
+from . import (
+    decontaminate, exact_dedup, html_extract, pii, secrets, sentencepiece_codec, sharding, simhash, token_files,
+    token_rollup, toxicity,
+)
 from .rows import snapshot
 
 
@@ -63,29 +66,31 @@ def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Every batch is sent twice, as a client that lost the answer would.
     """
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     text = F.coalesce("text", F.lit(""))
-    counts = {
-        "words-1": F.size(F.filter(F.split(text, " "), lambda w: w != "")),
-        "bytes-4": F.ceil(F.octet_length(text) / 4),
-    }
-
-    def changes(action: str, rows: DataFrame, counted: dict) -> DataFrame:
-        parts = F.array(
-            *[F.struct(F.lit(v).alias("tokenizer_version"), n.cast("long").alias("n_tokens")) for v, n in counted.items()]
-        )
+    words = F.filter(F.split(text, " "), lambda w: w != "")
+    # All counts are worked out in the scan: what is joined afterwards is narrow.
+    counted = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang",
+        F.size(words).cast("long").alias("words"),
+        # Marks around words are not counted any more.
+        F.size(F.filter(words, lambda w: w.rlike("[A-Za-z0-9]"))).cast("long").alias("marked"),
+        F.ceil(F.octet_length(text) / 4).alias("bytes"),
+    )
+    docs, labels = stored(counted, "token-counts"), table(spark, sf_dir, "labels")
+
+    def changes(action: str, rows: DataFrame, versions: dict) -> DataFrame:
+        parts = F.array(*[F.struct(F.lit(v).alias("tokenizer_version"), F.col(c).alias("n_tokens")) for v, c in versions.items()])
         exploded = rows.select("doc_id", "source", "lang", F.explode(parts).alias("c"))
         return exploded.select(F.lit(action).alias("action"), "doc_id", "source", "lang", "c.*")
 
     low = docs.join(labels.filter("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi")
     toxic = docs.join(labels.filter("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi")
-    # Marks around words are not counted any more.
-    recount = {"words-1": F.size(F.filter(F.split(text, " "), lambda w: w.rlike("[A-Za-z0-9]")))}
+    both = {"words-1": "words", "bytes-4": "bytes"}
     store = token_rollup.TokenRollup(spark, scratch_dir(spark, "token-rollup"))
     for batch, rows in (
-        ("load", changes("insert", docs, counts)),
-        ("recount", changes("revise", low, recount)),
-        ("takedown", changes("delete", toxic, counts)),
+        ("load", changes("insert", docs, both)),
+        ("recount", changes("revise", low, {"words-1": "marked"})),
+        ("takedown", changes("delete", toxic, both)),
     ):
         store.apply(batch, rows)
         store.apply(batch, rows)
@@ -152,6 +157,16 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two regions of four racks of five shards, and with one shard more."""
+    tree = sharding.ShardTree.even(2, 4, 5)
+    found = sharding.assign_shards(table(spark, sf_dir, "documents"), tree, grown=tree.with_shard())
+    return found.select(
+        "doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot",
+        F.col("grown").alias("grown_shard"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -162,7 +177,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage by name."""
     found = (
         op1_simhash, op2_token_files, op3_html_text, op4_decontaminate, op5_token_rollup, op6_toxicity,
-        op7_exact_dedup, op8_secrets, op9_sentencepiece, op10_pii, pipeline,
+        op7_exact_dedup, op8_secrets, op9_sentencepiece, op10_pii, op11_sharding, pipeline,
     )
     return {f.__name__: f for f in found}
 
@@ -221,6 +236,45 @@ FROM t WINDOW g AS (PARTITION BY text)
 """,
 }
 
+ORACLE["op11_sharding"] = """
+WITH tab AS (SELECT list(c ORDER BY i) AS t FROM (
+  SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
+  FROM (SELECT unnest(range(256)) AS i))),
+d AS (
+  SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS k, octet_length(encode(coalesce(text, ''))) + 16 AS size,
+    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b
+  FROM documents
+),
+top AS (
+  SELECT *, list_transform(['0', '1', '+0'], lambda x, i:
+    -ln((CAST('0x' || substr(md5(k || '|' || x), 1, 15) AS BIGINT) + 0.5) / 1152921504606846976.0::DOUBLE)
+    / (CASE WHEN i < 3 THEN 20.0 ELSE 1.0 END)::DOUBLE) AS r
+  FROM d
+),
+racks AS (
+  SELECT *, CASE WHEN r[1] < r[2] THEN 0 ELSE 1 END AS region, r[3] < least(r[1], r[2]) AS moved FROM top
+),
+shards AS (
+  SELECT *, list_transform(range(4), lambda i:
+    -ln((CAST('0x' || substr(md5(k || '|' || region || '.' || i), 1, 15) AS BIGINT) + 0.5) / 1152921504606846976.0::DOUBLE) / 5.0::DOUBLE) AS s
+  FROM racks
+),
+placed AS (SELECT *, list_position(s, list_min(s)) - 1 AS rack FROM shards),
+drawn AS (
+  SELECT *, list_transform(range(5), lambda i:
+    -ln((CAST('0x' || substr(md5(k || '|' || region || '.' || rack || '.' || i), 1, 15) AS BIGINT) + 0.5) / 1152921504606846976.0::DOUBLE)) AS e
+  FROM placed
+),
+numbered AS (SELECT *, region * 20 + rack * 5 + list_position(e, list_min(e)) - 1 AS shard FROM drawn)
+SELECT doc_id, CAST(size AS BIGINT) AS size,
+  CAST(xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c // 256, t[1 + xor(c % 256, x)])), 4294967295) AS BIGINT) AS text_crc32,
+  'key' AS law, CAST(shard AS INTEGER) AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST) - 1 AS slot,
+  CAST(CASE WHEN moved THEN 40 ELSE shard END AS INTEGER) AS grown_shard
+FROM numbered, tab
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express; the others are tested against brute force."""

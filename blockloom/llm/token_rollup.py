@@ -3,8 +3,12 @@
 A store holds, per committed batch, the signed totals by source, language and tokenizer version,
 and per document the counts that are in force. A batch of changes (insert, delete, revise) is
 turned into signed rows by looking up the counts in force; totals are additive, so a reader sums
-what all commits say. A batch writes under a new name and its commit is one file, named by the
-batch: applying a batch that is committed changes nothing, and a batch that broke off is not seen.
+what all commits say. A batch writes under a new name and its commit is one file, named by its
+number: applying a batch that is committed changes nothing, and a batch that broke off is not seen.
+
+Every so many commits the ledger and the totals are merged into a snapshot, the ledger in buckets by
+document. A batch reads the buckets of its own documents and the commits since the snapshot, never the
+whole history.
 """
 
 from __future__ import annotations
@@ -12,14 +16,21 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEYS = ("source", "lang", "tokenizer_version")
 LEDGER = "doc_id long, tokenizer_version string, source string, lang string, n_tokens long, deleted boolean, seq long"
+SNAPSHOT = f"{LEDGER}, bucket int"
 TOTALS = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
-# Deltas of totals are merged into one snapshot every so many commits.
+# Ledgers and deltas of totals are merged into one snapshot every so many commits.
 COMPACT_EVERY = 16
+# Folders of a snapshot of the ledger: a batch reads only those its documents fall into.
+BUCKETS = 256
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
 
 
 class TokenRollup:
@@ -61,15 +72,19 @@ class TokenRollup:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*paths)
 
-    def _ledger(self, commits: list[dict]) -> DataFrame:
-        """Counts in force: the newest entry per document and tokenizer version."""
-        rows = self._read([c["ledger"] for c in commits], LEDGER)
+    def _ledger(self, commits: list[dict], touched: list[int] | None = None) -> DataFrame:
+        """Newest entry per document and tokenizer version, deletions too; ``touched`` names buckets to read."""
+        start = max((c["seq"] for c in commits if c.get("snapshot")), default=-1)
+        rows = self._read([c["ledger"] for c in commits if c["seq"] > start], LEDGER).withColumn("bucket", _bucket())
+        for c in commits:
+            if c["seq"] == start:
+                rows = rows.unionByName(self.spark.read.schema(SNAPSHOT).parquet(c["snapshot"]))
+        if touched is not None and len(touched) < BUCKETS:
+            rows = rows.filter(F.col("bucket").isin(touched))
         newest = rows.groupBy("doc_id", "tokenizer_version").agg(
             F.max(F.struct("seq", "source", "lang", "n_tokens", "deleted")).alias("x")
         )
-        return newest.select("doc_id", "tokenizer_version", "x.source", "x.lang", "x.n_tokens", "x.deleted").filter(
-            "not deleted"
-        )
+        return newest.select("doc_id", "tokenizer_version", "x.source", "x.lang", "x.n_tokens", "x.deleted", "x.seq")
 
     def apply(self, batch_id: str, changes: DataFrame) -> bool:
         """Apply ``(action, doc_id, source, lang, tokenizer_version, n_tokens)`` once; False if it was before.
@@ -85,6 +100,7 @@ class TokenRollup:
         if any(c["batch"] == batch_id for c in commits):
             return False
         seq = len(commits)
+        work = f"{self.path}/work/{uuid.uuid4().hex}"
         key = ("doc_id", "tokenizer_version")
         new = changes.filter(F.col("action").isin("insert", "revise", "delete") & F.col("doc_id").isNotNull()).select(
             F.col("doc_id").cast("long").alias("doc_id"),
@@ -97,13 +113,15 @@ class TokenRollup:
             ).alias("x"),
         )
         new = new.groupBy(*key).agg(F.max("x").alias("new"))
-        old = self._ledger(commits).select(
+        new.write.parquet(f"{work}/new")
+        new = self.spark.read.parquet(f"{work}/new")
+        touched = [r[0] for r in new.select(_bucket().alias("bucket")).distinct().collect()]
+        old = self._ledger(commits, touched).filter("not deleted").select(
             F.col("doc_id").alias("d"),
             F.col("tokenizer_version").alias("v"),
             F.struct("source", "lang", "n_tokens").alias("old"),
         )
         here = (F.col("doc_id") == F.col("d")) & F.col("tokenizer_version").eqNullSafe(F.col("v"))
-        work = f"{self.path}/work/{batch_id}-{uuid.uuid4().hex}"
         joined = new.join(old, here, "left").filter(F.col("old").isNotNull() | ~F.col("new.deleted"))
         joined.select(*key, "new", "old").write.parquet(f"{work}/changes")
         joined = self.spark.read.parquet(f"{work}/changes")
@@ -120,13 +138,15 @@ class TokenRollup:
 
         deltas = signed("new", 1, ~F.col("new.deleted")).unionByName(signed("old", -1, F.col("old").isNotNull()))
         totals = deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        base = None
+        base, snapshot = None, None
         if (seq + 1) % COMPACT_EVERY == 0:
-            totals, base = self._sum(self.totals().unionByName(totals)), seq
+            totals, base, snapshot = self._sum(self.totals().unionByName(totals)), seq, f"{work}/snapshot"
+            upto = [*commits, {"seq": seq, "ledger": f"{work}/ledger"}]
+            whole = self._ledger(upto).filter("not deleted").withColumn("bucket", _bucket())
+            whole.repartition("bucket").write.partitionBy("bucket").parquet(snapshot)
         totals.write.parquet(f"{work}/totals")
-        self._commit(
-            {"seq": seq, "batch": batch_id, "ledger": f"{work}/ledger", "totals": f"{work}/totals", "base": base}
-        )
+        entry = {"seq": seq, "batch": batch_id, "ledger": f"{work}/ledger", "totals": f"{work}/totals"}
+        self._commit(entry | {"base": base, "snapshot": snapshot})
         return True
 
     @staticmethod

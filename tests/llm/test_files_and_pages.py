@@ -88,6 +88,29 @@ def test_rollup_deltas_and_replays(spark, tmp_path, monkeypatch):
     assert got == {("b", "en", "v2"): (1, 4), (None, "en", None): (1, 0)}
 
 
+def test_rollup_reads_a_snapshot_and_what_came_after(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_rollup, "COMPACT_EVERY", 3)
+    monkeypatch.setattr(token_rollup, "BUCKETS", 16)
+    store, want = token_rollup.TokenRollup(spark, str(tmp_path / "rollup")), {}
+    for batch in range(7):
+        rows = [("insert" if (i + batch) % 3 else "delete", i, f"s{i % 4}", "en", "v", 10 * batch + i) for i in range(batch, 40, batch + 1)]
+        assert store.apply(f"b{batch}", spark.createDataFrame(rows, CHANGES))
+        for action, i, source, _, _, n in rows:
+            want.pop(i, None)
+            if action == "insert":
+                want[i] = (source, n)
+    sums = {s: (sum(x == s for x, _ in want.values()), sum(n for x, n in want.values() if x == s)) for s in {x for x, _ in want.values()}}
+    assert {r["source"]: (r["n_docs"], r["n_tokens"]) for r in store.totals().collect()} == sums
+    # Seven commits: one snapshot of six and one ledger; a batch of one document reads one bucket.
+    files = store._ledger(store._commits(), [3]).inputFiles()
+    folders = {f.split("/work/")[1].split("/")[1] for f in files}
+    commits = store._commits()
+    assert [c["seq"] for c in commits if c["snapshot"]] == [2, 5] and folders == {"snapshot", "ledger"}
+    assert len({f.split("/work/")[1].split("/")[0] for f in files}) == 2
+    plan = store._ledger(commits, [3])._jdf.queryExecution().executedPlan().toString()
+    assert any("bucket#" in x[:100] for x in plan.split("PartitionFilters: ")[1:])
+
+
 PAGE = """<html><head><title>no</title><script>var a="</p>";</script></head><body><header class="site-header"><a href=/>Home</a></header>
 <nav><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></nav><div class="cookie-banner">We use cookies <button>OK</button></div>
 <main><article><h1>Big &amp; title</h1><p>First  paragraph of the story,\nwith <b>many words</b> in it.<p>Second one goes on, and ends here.
