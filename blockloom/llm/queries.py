@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_dir, stored
 from . import (
-    decontaminate, divergence, exact_dedup, html_extract, pii, secrets, sentencepiece_codec, sharding, simhash, token_files,
+    decontaminate, divergence, exact_dedup, html_extract, pii, search, secrets, sentencepiece_codec, sharding, simhash, token_files,
     token_rollup, toxicity,
 )
 from .rows import snapshot
@@ -171,6 +171,10 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -182,7 +186,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_simhash, op2_token_files, op3_html_text, op4_decontaminate, op5_token_rollup, op6_toxicity,
         op7_exact_dedup, op8_secrets, op9_sentencepiece, op10_pii, op11_sharding,
-        op12_divergence, pipeline,
+        op12_divergence, op13_search, pipeline,
     )
     return {f.__name__: f for f in found}
 
@@ -320,6 +324,34 @@ UNION ALL
 SELECT lang, source, part, item, value, CAST(rank AS INTEGER) FROM ranked WHERE rank <= 200
 """
 
+ORACLE["op13_search"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+),
+i AS (
+  SELECT row_number() OVER () AS q, item_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT DISTINCT item_id, coalesce(text, '') AS text FROM benchmark)
+),
+qt AS (SELECT q, item_id, term, count(*) AS times FROM (SELECT q, item_id, unnest(w) AS term FROM i) GROUP BY ALL),
+total AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+dt AS (SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM dt GROUP BY term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM df, total),
+hits AS (
+  SELECT q, item_id, row, doc_id,
+    times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * dt.n * total.n) // total.l))) AS part
+  FROM qt JOIN dt USING (term) JOIN w USING (term), total
+),
+s AS (SELECT q, item_id, row, doc_id, CAST(sum(part) AS BIGINT) AS score FROM hits GROUP BY ALL HAVING sum(part) > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM s)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express; the others are tested against brute force."""

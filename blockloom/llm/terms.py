@@ -67,9 +67,9 @@ class Terms:
         before = np.cumsum(size) - size
         return np.repeat(self.start[which] - before, size) + np.arange(int(size.sum()))
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, seed: int = 0) -> np.ndarray:
         """A 64-bit hash per term; equal terms have equal ones."""
-        out = self.size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        out = (self.size.astype(np.uint64) + np.uint64(seed << 32)) * np.uint64(0x9E3779B97F4A7C15)
         left, at = np.arange(len(self.start)), 0
         while len(left):
             out[left] = mixed(out[left] ^ self.word(left, at))
