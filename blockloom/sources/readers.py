@@ -7,11 +7,14 @@ order, so only the row counts per block have to be carried, never the rows.
 
 from __future__ import annotations
 
+from urllib.parse import urlsplit
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import TEXT
 from ..session import stored
+from .line_source import RANGE_BYTES, can_open, is_compressed, list_files, read_ranges
 
 # File extensions that mean "one document per line".
 LINE_EXTENSIONS = ("txt", "raw")
@@ -88,14 +91,28 @@ def with_parquet_position(df: DataFrame, out: str = "row_idx") -> DataFrame:
     return placed.join(base, "__file").withColumn(out, F.col("__fb") + F.col("__at")).drop("__file", "__at", "__fb")
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(row_idx, text)``: one row per line, blank lines kept."""
+def read_lines(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """``(row_idx, text)``: one row per line, blank lines kept.
+
+    Files that the line source can open are read by it, in place. Compressed files, and stores that only the
+    JVM reaches, go through Spark's own scan and one copy that fixes the place of each row.
+    """
+    files = list_files(spark, path)
+    if files and all(map(can_open, {_store(p): p for p, _ in files}.values())) and not any(is_compressed(p) for p, _ in files):
+        return read_ranges(spark, files, range_bytes)
     return with_file_position(_scan(spark, path, "text", False)).select("row_idx", "text")
 
 
+def _store(path: str) -> str:
+    parts = urlsplit(path)
+    return f"{parts.scheme}://{parts.netloc}"
+
+
 def read_corpus(spark: SparkSession, path: str, fmt: str | None = None, multi_line: bool = True) -> DataFrame:
     """``(row_idx, text)`` from a file or folder; only the text column is read."""
     fmt = fmt or corpus_format(path)
+    if fmt == "text":
+        return read_lines(spark, path)
     rows = _scan(spark, path, fmt, multi_line)
     return (with_parquet_position(rows) if fmt == "parquet" else with_file_position(rows)).select("row_idx", "text")
 
