@@ -20,7 +20,7 @@ from ..schemas import SPECIALS
 from ..session import scratch_dir, stored
 from ..sources import prepared as S
 from ..sources import readers
-from ..streaming import live
+from ..streaming import carry, live
 from . import views as V
 from .prepare import feed, pack_documents, store_blocks
 
@@ -517,6 +517,45 @@ def stream_totals(spark, sf):
     return live.read_totals(spark, out)
 
 
+def _arrivals(spark, rows: DataFrame, key: str, parts: int, path: str):
+    """Write ``rows`` in ``parts`` rounds of ascending keys into one folder, one after the other."""
+    low, high = rows.agg(F.min(key), F.max(key)).first()
+    if low is None:
+        rows.write.parquet(path)
+        return
+    width = (high - low) // parts + 1
+    for i in range(parts):
+        some = rows.filter((F.col(key) >= low + i * width) & (F.col(key) < low + (i + 1) * width))
+        some.write.mode("append").parquet(path)
+        yield i
+
+
+def stream_pack_carry(spark, sf):
+    """``documents`` in four rounds, the stream stopped and started again after each."""
+    docs, vocab = V.docs(spark, sf), _vocab(spark, sf)
+    source, out, checkpoint = (scratch_dir(spark, f"carry-{x}") for x in ("in", "out", "state"))
+    for _ in _arrivals(spark, docs, "doc_id", 4, source):
+        raw = live.stream_table(spark, source, docs.schema)
+        carry.stream_pack_carry(raw, vocab, out, checkpoint, BLOCK, SHARDS).awaitTermination()
+    blocks = carry.finished_blocks(spark, out, checkpoint)
+    return _block_view(blocks.withColumn("batch", F.lit(0).cast("long")))
+
+
+def stream_totals_once(spark, sf):
+    """``events`` in four rounds, every one sent again with the round after it."""
+    events = V.table(spark, sf, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    source, again, out, checkpoint = (scratch_dir(spark, f"once-{x}") for x in ("in", "again", "out", "state"))
+    for i in _arrivals(spark, events, "event_id", 4, source):
+        # All that came so far but the newest round is there a second time.
+        raw = live.stream_table(spark, source, events.schema)
+        if i:
+            spark.read.parquet(again).write.mode("append").parquet(source)
+        spark.read.parquet(source).write.mode("overwrite").parquet(again)
+        steps = V.events_as_steps(live.events_once(raw, "at", "60 days"))
+        live.stream_totals(steps, out, checkpoint).awaitTermination()
+    return live.read_totals(spark, out)
+
+
 def queries() -> dict[str, Query]:
     """All registered queries by name."""
     return {
@@ -575,4 +614,6 @@ def queries() -> dict[str, Query]:
         "layered_overrides": layered_overrides,
         "stream_pack": stream_pack,
         "stream_totals": stream_totals,
+        "stream_pack_carry": stream_pack_carry,
+        "stream_totals_once": stream_totals_once,
     }

@@ -250,6 +250,13 @@ acted AS (
                  WHEN draw < '{mid}' THEN 2 ELSE 3 END AS action FROM drawn)"""
 
 
+RUN_TOTALS = f"""
+WITH {STEPS} SELECT run_id,
+  CAST(coalesce(sum(batch_size * 4) FILTER (rank = 0 AND phase = 'train'), 0) AS BIGINT) AS samples,
+  CAST(coalesce(sum(batch_size * 4 * width) FILTER (rank = 0 AND phase = 'train'), 0) AS BIGINT) AS tokens
+FROM steps GROUP BY run_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Oracle SQL by query name."""
     long_lines = "string_split_regex(text, '\\r\\n|\\n|\\r')"
@@ -502,9 +509,13 @@ SELECT run_id, key, layer, value FROM (
   SELECT *, row_number() OVER (PARTITION BY run_id, key ORDER BY layer DESC, seq DESC, value DESC) AS rn FROM o)
 WHERE rn = 1""",
         "stream_pack": packed_view(BLOCK, ROWS, False),
-        "stream_totals": f"""
-WITH {STEPS} SELECT run_id,
-  CAST(coalesce(sum(batch_size * 4) FILTER (rank = 0 AND phase = 'train'), 0) AS BIGINT) AS samples,
-  CAST(coalesce(sum(batch_size * 4 * width) FILTER (rank = 0 AND phase = 'train'), 0) AS BIGINT) AS tokens
-FROM steps GROUP BY run_id""",
+        "stream_totals": RUN_TOTALS,
+        # Sent twice, counted once.
+        "stream_totals_once": RUN_TOTALS,
+        "stream_pack_carry": f"""
+WITH {DOCS}, {VOCAB}, {TOKENS},
+places AS (SELECT doc_id, split, doc_id AS row_idx, CAST(doc_id % {SHARDS} AS BIGINT) AS shard, CAST(0 AS BIGINT) AS batch FROM docs),
+{cells(BLOCK)}
+SELECT split, shard, batch, blk, CAST(list(id ORDER BY cell) AS VARCHAR) AS ids,
+  CAST(list(special ORDER BY cell) AS VARCHAR) AS special FROM cells GROUP BY split, shard, batch, blk""",
     }

@@ -92,6 +92,22 @@ def stream_totals(steps: DataFrame, out: str, checkpoint: str) -> StreamingQuery
     )
 
 
+def events_once(events: DataFrame, event_time: str, delay: str, keys: tuple[str, ...] = ("event_id",)) -> DataFrame:
+    """A stream of events without the ones that were sent again, and without those that come too late.
+
+    An event is late if it is more than ``delay`` behind the newest event time of the micro-batches before; it
+    is dropped, and the query's progress counts it. A copy is recognised if it arrives while its original is
+    within the delay: what has to be remembered is bounded by the delay, not by the stream.
+    """
+    return events.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
+
+
+def late_events(query: StreamingQuery) -> int:
+    """How many rows a query has dropped because they were late, as far as its progress reports go back."""
+    reports = [p.stateOperators for p in query.recentProgress]
+    return sum(o.numRowsDroppedByWatermark for operators in reports for o in operators)
+
+
 def read_totals(spark: SparkSession, out: str) -> DataFrame:
     """Current totals: the newest snapshot that was finished."""
     for path in newest_first(spark, out):

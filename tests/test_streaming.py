@@ -3,7 +3,7 @@
 from blockloom.operators import tokens as T
 from blockloom.plans import views as V
 from blockloom.plans.prepare import pack_documents
-from blockloom.streaming import live
+from blockloom.streaming import carry, live
 
 
 def test_lines_arriving_in_rounds(spark, tmp_path):
@@ -43,3 +43,74 @@ def test_totals_over_several_micro_batches(spark, sf, tmp_path):
         n = r["batch_size"] * r["devices"] if r["rank"] == 0 and r["phase"] == "train" else 0
         want[r["run_id"]] = (s + n, t + n * r["width"])
     assert got == want
+
+
+def concatenated(docs, vocab, block, shards):
+    """Literal packing: per split and shard all ids in order, cut into blocks, the rest dropped unless alone."""
+    ids = {r["n"]: r["input_ids"] for r in T.tokenize(docs.select("n", "text"), vocab).collect()}
+    flat = {}
+    for r in sorted(docs.collect(), key=lambda r: r["n"]):
+        flat.setdefault((r["split"], r["n"] % shards), []).extend(ids[r["n"]])
+    out = {}
+    for (split, shard), row in flat.items():
+        full = max(len(row) // block, 1 if row else 0)
+        for b in range(full):
+            out[split, shard, b] = row[b * block : (b + 1) * block]
+    return out
+
+
+def test_blocks_cross_micro_batches(spark, tmp_path):
+    import random
+
+    rng = random.Random(9)
+    words = "a b c d . e ff".split()
+    rows = [("val" if n % 5 == 0 else "train", n, " ".join(rng.choices(words, k=rng.randint(0, 12)))) for n in range(150)]
+    rows += [("alone", 1000, "a b")]
+    schema = "split string, n long, text string"
+    docs = spark.createDataFrame(rows, schema)
+    vocab = T.load_vocab(T.build_vocab(docs, 20))
+    want = concatenated(docs, vocab, 8, 3)
+    for name, cuts in (("three", [0, 40, 41, 151]), ("one", [0, 151])):
+        source, out, state = (str(tmp_path / f"{name}-{x}") for x in ("in", "out", "state"))
+        for low, high in zip(cuts, cuts[1:]):
+            spark.createDataFrame(rows[low:high], schema).repartition(2).write.mode("append").parquet(source)
+            raw = live.stream_table(spark, source, docs.schema)
+            # A new query from the same checkpoint each time: what is open comes from the state store.
+            carry.stream_pack_carry(raw, vocab, out, state, 8, 3, key="n").awaitTermination()
+        found = carry.finished_blocks(spark, out, state).collect()
+        assert {(r["split"], r["shard"], r["blk"]): list(r["input_ids"]) for r in found} == want
+        assert len(found) == len(want) and all(len(r["special_tokens_mask"]) == len(r["input_ids"]) for r in found)
+        left = {(r["split"], r["shard"]): len(r["input_ids"]) for r in carry.open_remainders(spark, state).collect()}
+        assert all(n < 8 for n in left.values()) and left["alone", 1] == 4
+    # Starting again without anything new changes nothing.
+    carry.stream_pack_carry(live.stream_table(spark, source, docs.schema), vocab, out, state, 8, 3, key="n").awaitTermination()
+    assert carry.finished_blocks(spark, out, state).count() == len(want)
+
+
+def test_events_sent_again_count_once_and_late_ones_are_dropped(spark, tmp_path):
+    import datetime as dt
+
+    start = dt.datetime(2024, 1, 1)
+    schema = "event_id long, at timestamp, run_id long, rank long, phase string, batch_size long, devices long, width long"
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+
+    def event(i, minute):
+        return (i, start + dt.timedelta(minutes=minute), 1, 0, "train", 2, 1, 8)
+
+    rounds = [
+        [event(0, 0), event(1, 5), event(1, 5)],
+        [event(1, 5), event(2, 60), event(0, 0)],
+        [event(3, 20), event(4, 55), event(2, 60)],
+        # Only now has the newest event of the round before moved the watermark to minute 50.
+        [event(5, 10), event(6, 70)],
+    ]
+    late = 0
+    for rows in rounds:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        raw = live.stream_table(spark, source, spark.createDataFrame([], schema).schema)
+        query = live.stream_totals(live.events_once(raw, "at", "10 minutes"), out, state)
+        query.awaitTermination()
+        late += live.late_events(query)
+    got = [(r["run_id"], r["samples"], r["tokens"]) for r in live.read_totals(spark, out).collect()]
+    # Events 3 and 5 came after the watermark had passed them.
+    assert got == [(1, 2 * 5, 2 * 5 * 8)] and late == 2
