@@ -22,7 +22,7 @@ from ..sources import prepared as S
 from ..sources import readers
 from ..streaming import carry, live
 from . import views as V
-from .prepare import feed, pack_documents, store_blocks
+from .prepare import feed, pack_documents, prepare, prepare_incremental, store_blocks
 
 # Columns of the step log that counters and losses are made of.
 COUNTED = ("run_id", "session", "rank", "phase", "batch_idx", "step", "batch_size", "devices", "width")
@@ -119,6 +119,56 @@ def prepared_roundtrip(spark, sf):
     return _block_view(S.load_prepared(spark, path))
 
 
+def _split_folders(spark, sf) -> dict[str, str]:
+    """``documents`` as one folder of files per split, in the order of their ids."""
+    root, paths = scratch_dir(spark, "inputs"), {}
+    for split in ("train", "val"):
+        rows = V.docs(spark, sf).filter(_of(split)).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+        paths[split] = f"{root}/{split}.parquet"
+        rows.select("text").write.parquet(paths[split])
+    return paths
+
+
+def _prepare(spark, sf, paths, root, **how):
+    return prepare(spark, paths, root, _vocab(spark, sf), "words", BLOCK, SHARDS, ROWS, **how)
+
+
+def force_rebuild(spark, sf):
+    """Prepared, then made anew beside the version in force, and read."""
+    paths, root = _split_folders(spark, sf), scratch_dir(spark, "tokenized")
+    _prepare(spark, sf, paths, root, prepare_only=True)
+    return _block_view(_prepare(spark, sf, paths, root, force_rebuild=True))
+
+
+def prepare_only(spark, sf):
+    """One call only prepares, the next one finds what it left."""
+    paths, root = _split_folders(spark, sf), scratch_dir(spark, "tokenized")
+    if _prepare(spark, sf, paths, root, prepare_only=True) is not None:
+        raise AssertionError("a job that only prepares returns nothing")
+    return _block_view(_prepare(spark, sf, paths, root))
+
+
+# Entries of the incremental input: documents by id modulo this.
+ENTRIES = 5
+
+
+def prepared_incremental(spark, sf):
+    """Four entries, then a fifth and another content of the second; only these two are packed again."""
+    root, source = scratch_dir(spark, "tokenized"), scratch_dir(spark, "entries")
+    docs, vocab = V.docs(spark, sf), _vocab(spark, sf)
+
+    def put(i: int, rows: DataFrame) -> None:
+        part = rows.filter(F.col("doc_id") % ENTRIES == i).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+        part.select("text").write.mode("overwrite").parquet(f"{source}/{i}")
+
+    for i in range(ENTRIES - 1):
+        put(i, docs.filter("doc_id < 7") if i == 1 else docs)
+    prepare_incremental(spark, {"train": source}, root, vocab, "words", BLOCK, ROWS, fmt="parquet", prepare_only=True)
+    put(1, docs)
+    put(ENTRIES - 1, docs)
+    return _block_view(prepare_incremental(spark, {"train": source}, root, vocab, "words", BLOCK, ROWS, fmt="parquet"))
+
+
 def cache_lookup(spark, sf):
     found = S.lookup_prepared(V.cache_requests(spark, sf), V.cache_entries(spark, sf))
     return found.select("c_custkey", "match", "path")
@@ -565,6 +615,9 @@ def queries() -> dict[str, Query]:
         "named_splits": named_splits,
         "split_counts": split_counts,
         "prepared_roundtrip": prepared_roundtrip,
+        "force_rebuild": force_rebuild,
+        "prepare_only": prepare_only,
+        "prepared_incremental": prepared_incremental,
         "cache_lookup": cache_lookup,
         "corpus_preview": corpus_preview,
         "corpus_stats": corpus_stats,

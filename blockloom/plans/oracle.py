@@ -12,6 +12,7 @@ from .catalog import (
     BLOCK,
     BLOCK_SIZES,
     CACHE_LIMIT,
+    ENTRIES,
     EPOCH,
     EVAL_EVERY,
     EVAL_SAMPLES,
@@ -509,6 +510,15 @@ SELECT run_id, key, layer, value FROM (
   SELECT *, row_number() OVER (PARTITION BY run_id, key ORDER BY layer DESC, seq DESC, value DESC) AS rn FROM o)
 WHERE rn = 1""",
         "stream_pack": packed_view(BLOCK, ROWS, False),
+        "force_rebuild": packed_view(BLOCK, ROWS, False),
+        "prepare_only": packed_view(BLOCK, ROWS, False),
+        "prepared_incremental": f"""
+WITH {DOCS}, {VOCAB}, {TOKENS},
+idx AS (SELECT doc_id, doc_id % {ENTRIES} AS shard, row_number() OVER (PARTITION BY doc_id % {ENTRIES} ORDER BY doc_id) - 1 AS row_idx FROM docs),
+places AS (SELECT doc_id, row_idx, CAST(shard AS BIGINT) AS shard, CAST(row_idx // {ROWS} AS BIGINT) AS batch FROM idx),
+moved AS (SELECT * REPLACE ('train' AS split) FROM tokens), {cells(BLOCK).replace("FROM tokens t", "FROM moved t")}
+SELECT split, shard, batch, blk, CAST(list(id ORDER BY cell) AS VARCHAR) AS ids,
+  CAST(list(special ORDER BY cell) AS VARCHAR) AS special FROM cells GROUP BY split, shard, batch, blk""",
         "stream_totals": RUN_TOTALS,
         # Sent twice, counted once.
         "stream_totals_once": RUN_TOTALS,

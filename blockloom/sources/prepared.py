@@ -9,6 +9,8 @@ import warnings
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import PreparedStore
+
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -17,7 +19,7 @@ def _fs(spark: SparkSession, path: str):
 
 
 def is_complete(spark: SparkSession, path: str) -> bool:
-    """Whether a finished dataset is at ``path``."""
+    """Whether a finished table of Spark's writers is at ``path``."""
     fs, hpath = _fs(spark, path.rstrip("/") + "/_SUCCESS")
     return bool(fs.exists(hpath))
 
@@ -31,15 +33,20 @@ def newest_first(spark: SparkSession, root: str, prefix: str = "stream_batch=")
 
 
 def save_prepared(df: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Write all splits, one folder per split."""
-    df.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("split").parquet(path)
+    """Write all splits, one folder per split, as a new version; an older one stays readable until then and after.
+
+    Without ``overwrite`` a dataset that is there already is an error.
+    """
+    store = PreparedStore(df.sparkSession, path)
+    held = store.versions()
+    if held and not overwrite:
+        raise FileExistsError(f"a prepared dataset is at {path}")
+    store.commit([store.write(df)], df.schema, held[-1] if held else None)
 
 
 def load_prepared(spark: SparkSession, path: str) -> DataFrame:
     """Read a prepared dataset; a missing or unfinished one is an error."""
-    if not is_complete(spark, path):
-        raise FileNotFoundError(f"no prepared dataset at {path}; it should have been made before")
-    return spark.read.parquet(path)
+    return PreparedStore(spark, path).load()
 
 
 def fingerprint(**applied) -> str:
@@ -90,6 +97,21 @@ def cache_key(tokenizer_fingerprint: str, **applied) -> str:
     return f"{dataset_group(**applied)}/{fingerprint(tokenizer=tokenizer_fingerprint)}"
 
 
+def input_entries(spark: SparkSession, inputs: dict[str, str]) -> dict[tuple[str, str], str]:
+    """``(split, path) → digest`` of every file or folder right below each input, or of the input if it is a file.
+
+    The digest covers path, length and modification time of all files below an entry.
+    """
+    found = {}
+    for split, path in inputs.items():
+        fs, hpath = _fs(spark, path)
+        listed = [s.getPath() for s in fs.listStatus(hpath)]
+        for entry in listed:
+            if not entry.getName().startswith(("_", ".")):
+                found[split, entry.toString()] = fingerprint(files=input_identity(spark, {split: entry.toString()}))
+    return found
+
+
 def find_prepared(spark: SparkSession, root: str, key: str) -> tuple[str | None, bool]:
     """Path of a finished dataset and whether its key matches exactly.
 
@@ -97,13 +119,13 @@ def find_prepared(spark: SparkSession, root: str, key: str) -> tuple[str | None,
     it was made by another version of the tokenizer. Without either the path is ``None``.
     """
     exact = f"{root.rstrip('/')}/{key}"
-    if is_complete(spark, exact):
+    if PreparedStore(spark, exact).manifest() is not None:
         return exact, True
     fs, group = _fs(spark, exact.rsplit("/", 1)[0])
     found = fs.listStatus(group) if fs.exists(group) else []
     for status in sorted(found, key=lambda s: (-s.getModificationTime(), s.getPath().getName())):
         path = status.getPath().toString()
-        if is_complete(spark, path):
+        if PreparedStore(spark, path).manifest() is not None:
             warnings.warn(f"no prepared dataset {key}; using {path}, made by another tokenizer version", stacklevel=2)
             return path, False
     return None, False

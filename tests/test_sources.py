@@ -86,12 +86,14 @@ def test_prepared_must_be_complete(spark, tmp_path):
     df = spark.range(4).withColumn("split", F.lit("train"))
     S.save_prepared(df, path)
     assert S.load_prepared(spark, path).count() == 4
-    assert os.path.isdir(os.path.join(path, "split=train"))
+    (part,) = os.listdir(os.path.join(path, "data"))
+    assert os.path.isdir(os.path.join(path, "data", part, "split=train"))
     with pytest.raises(Exception):
         S.save_prepared(df, path)
     S.save_prepared(df.limit(1), path, overwrite=True)
     assert S.load_prepared(spark, path).count() == 1
-    os.remove(os.path.join(path, "_SUCCESS"))
+    for name in os.listdir(os.path.join(path, "commits")):
+        os.remove(os.path.join(path, "commits", name))
     with pytest.raises(FileNotFoundError):
         S.load_prepared(spark, path)
     with pytest.raises(FileNotFoundError):
