@@ -244,6 +244,14 @@ def block_counts(totals: DataFrame, block_size: int) -> DataFrame:
     return totals.groupBy("split").agg(F.sum(blocks_in(F.col("tokens"), block_size)).alias("n"))
 
 
+def number_rows(narrow: DataFrame) -> DataFrame:
+    """Add ``block_idx`` to narrow block rows ``(GROUP, blk, …)`` from their own counts per batch."""
+    counts = narrow.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("__blocks"))
+    upto = running_sum(counts, {"__upto": F.col("__blocks")}, F.col("batch"), by=("split",), bucket=F.col("shard"))
+    first = upto.select(*GROUP, (F.col("__upto") - F.col("__blocks")).alias("__first"))
+    return narrow.join(first, list(GROUP)).withColumn("block_idx", F.col("__first") + F.col("blk")).drop("__first")
+
+
 def number_blocks(blocks: DataFrame, totals: DataFrame, block_size: int) -> DataFrame:
     """Add ``block_idx`` to packed blocks, joined on the keys that already place them."""
     first = _first_block(totals, block_size).select(*GROUP, "__first")

@@ -339,7 +339,7 @@ def due_steps(spark, sf):
 
 
 def _stored_blocks(spark, sf, block: int = BLOCK, rows: int = ROWS) -> DataFrame:
-    return store_blocks(spark, _packed(spark, sf, block, rows), scratch_dir(spark, "prepared"), block)
+    return store_blocks(spark, _packed(spark, sf, block, rows), scratch_dir(spark, "prepared"))
 
 
 def _fed_view(df: DataFrame, *more: Column) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.columns import int_div
 from ..operators import collate, loading
-from ..operators.packing import GROUP, assign_batches, number_blocks, pack
+from ..operators.packing import GROUP, assign_batches, number_rows, pack
 from ..operators.tokens import attention_mask, tokenize, tokenize_with_file
 from ..schemas import PACK_BATCH_ROWS, SPECIALS
 from ..sources.prepared import (
@@ -172,17 +172,18 @@ def prepare_incremental(
     return None if prepare_only else store.load()
 
 
-def store_blocks(spark: SparkSession, blocks: DataFrame, path: str, block_size: int) -> DataFrame:
-    """Store packed blocks with their length and their dense number in the split.
+def store_blocks(spark: SparkSession, blocks: DataFrame, path: str, buckets: int | None = None) -> DataFrame:
+    """Store packed blocks with their length, once and where packing left them.
 
-    What feeds a consumer starts from here: positions are worked out on ``(split, block_idx, length)``,
-    and the texts are never read again.
+    They are clustered by ``(split, shard, batch)``, as packing has them already, so writing moves nothing. What feeds
+    a consumer starts from here: positions are worked out on narrow columns, and neither texts nor blocks
+    are read for them. What was observed while writing is in the manifest.
     """
-    save_prepared(blocks.withColumn("length", F.size("input_ids").cast("long")), f"{path}/packed")
-    packed = load_prepared(spark, f"{path}/packed")
-    totals = packed.groupBy(*GROUP).agg(F.sum("length").alias("tokens"))
-    save_prepared(number_blocks(packed, totals, block_size), f"{path}/numbered")
-    return load_prepared(spark, f"{path}/numbered")
+    store = PreparedStore(spark, path)
+    sized = blocks.withColumn("length", F.size("input_ids").cast("long"))
+    entry = store.write_clustered(sized, GROUP, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    store.commit([entry], sized.schema, None)
+    return store.load()
 
 
 def feed(
@@ -197,16 +198,18 @@ def feed(
 ) -> DataFrame:
     """Batches of every rank for both splits, padded and, with an objective, labelled.
 
-    ``train`` comes in the order of the epoch, every other split in its own. The order, ranks and
-    widths are worked out on narrow rows and brought to the blocks by their number.
+    ``train`` comes in the order of the epoch, every other split in its own. Numbers, order, ranks and
+    widths are worked out on narrow rows and brought to the stored blocks where these are: broadcast if they are
+    few; otherwise they go to the blocks' buckets, if the session lets joins use a part of their keys
+    (``spark.sql.requireAllClusterKeysForCoPartition`` off).
     """
-    narrow = blocks.select("split", "block_idx", "length")
+    keys = [*GROUP, "blk"]
+    narrow = number_rows(blocks.select(*keys, "length"))
     train = loading.shuffle(narrow.filter(F.col("split") == "train"), seed, epoch)
     rest = narrow.filter(F.col("split") != "train").withColumn("pos", F.col("block_idx"))
     counts = narrow.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
     dealt = loading.shard_by_rank(train.unionByName(rest, allowMissingColumns=True), world, counts=counts)
     placed = collate.batch_width(loading.batches(dealt, micro), F.col("length"), multiple)
-    keys = ["split", "block_idx"]
     wide = blocks.drop("length").join(placed.select(*keys, "rank", "batch_idx", "slot", "width"), keys)
     padded = collate.pad(wide.withColumn("attention_mask", attention_mask(F.col("input_ids"))))
     if objective == "mlm":

@@ -19,6 +19,8 @@ def local_session(cpus: int | str = 8, app: str = "blockloom", memory: str = "12
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.codegen.cache.maxEntries", "2000")
+        # Narrow rows may go to stored blocks that are clustered by a part of the join's keys.
+        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

@@ -144,6 +144,12 @@ def explode_lines(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return df.select(key, F.posexplode(split_lines(F.col(text))).alias("line_no", "line"))
 
 
+def scan_tasks(df: DataFrame) -> int:
+    """Into how many tasks the widest scan below ``df`` is cut. Nothing runs for it, also under adaptive execution."""
+    leaves = df._jdf.queryExecution().sparkPlan().collectLeaves()
+    return max((leaves.apply(i).execute().getNumPartitions() for i in range(leaves.size())), default=0)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Spread rows over all cores when the scan has fewer splits than there are cores.
 
@@ -151,7 +157,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     many splits and pass through without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if scan_tasks(df) >= cores:
         return df
     return df.repartition(cores, key)
 

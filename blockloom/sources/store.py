@@ -79,6 +79,28 @@ class PreparedStore:
         watched.write.partitionBy(*partition_by).parquet(f"{self.path}/{name}")
         return {"folder": name, "observed": dict(noted.get)}
 
+    def write_clustered(self, df: DataFrame, keys: tuple[str, ...], buckets: int) -> dict:
+        """The same in buckets by ``keys``: rows that are partitioned by them already are not moved, and joins on
+        them will not move the stored rows either."""
+        name = f"data/part={uuid.uuid4().hex}"
+        noted = Observation()
+        watched = df.observe(noted, *[c.alias(k) for k, c in observed(df.columns).items()])
+        table = f"blockloom_{uuid.uuid4().hex}"
+        watched.write.bucketBy(buckets, *keys).option("path", f"{self.path}/{name}").saveAsTable(table)
+        # The catalog only knew where to write; rows are opened by their manifest.
+        self.spark.sql(f"DROP TABLE {table}")
+        return {"folder": name, "observed": dict(noted.get), "keys": list(keys), "buckets": buckets}
+
+    def _clustered(self, entry: dict, schema: StructType) -> DataFrame:
+        """An entry in buckets as a table of this session; only such a table tells Spark about buckets."""
+        table = f"blockloom_{entry['folder'].split('=')[1]}"
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet CLUSTERED BY ({', '.join(entry['keys'])}) "
+            f"INTO {entry['buckets']} BUCKETS LOCATION '{self.path}/{entry['folder']}'"
+        )
+        return self.spark.table(table)
+
     def commit(self, entries: list[dict], schema: StructType, after: int | None) -> int:
         """Make ``entries`` the dataset; ``after`` is the version they replace, ``None`` for the first one.
 
@@ -104,6 +126,8 @@ class PreparedStore:
         if found is None:
             raise FileNotFoundError(f"no prepared dataset at {self.path}; it should have been made before")
         schema = StructType.fromJson(found["schema"])
+        if len(found["entries"]) == 1 and "buckets" in found["entries"][0]:
+            return self._clustered(found["entries"][0], schema)
         folders = [f"{self.path}/{e['folder']}" for e in found["entries"] if e["folder"]]
         if not folders:
             return self.spark.createDataFrame([], schema)
