@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import int_div
 from ..functions.draws import sort_draw, sort_draw_bucket, stream_id
+from ..functions.permute import Permutation
 from .ordering import default_buckets, dense_index
 
 
@@ -116,3 +117,26 @@ def due_steps(
         .withColumn("eval_due", evals)
         .withColumn("save_due", due(step, save_interval) & ends_step)
     )
+
+
+def resume_epoch(spark: SparkSession, order: Permutation, world: int, micro: int, accum: int, first_step: int = 0) -> DataFrame:
+    """``(step, rank, batch_idx, slot, block_idx, is_pad)`` of an epoch from an optimizer step on.
+
+    The order of the epoch is a function of the position, so a run goes on at any step: steps before
+    it cost nothing, and nothing is sorted or shuffled. Ranks are dealt positions in turn and made equal by the
+    first blocks of the order, as in ``shard_by_rank``; batches and steps are as in ``batches`` and ``accumulate``.
+    """
+    if min(world, micro, accum) <= 0 or first_step < 0:
+        raise ValueError("world, micro and accum must be positive, first_step 0 or more")
+    padded = -(-order.n // world) * world
+    rows = spark.range(min(first_step * world * micro * accum, padded), padded).withColumnRenamed("id", "__p")
+    within = int_div(F.col("__p"), F.lit(world))
+    batch = int_div(within, F.lit(micro))
+    return rows.select(
+        int_div(batch, F.lit(accum)).alias("step"),
+        F.pmod("__p", F.lit(world)).alias("rank"),
+        batch.alias("batch_idx"),
+        F.pmod(within, F.lit(micro)).alias("slot"),
+        order.block_at(F.pmod(F.col("__p"), F.lit(max(order.n, 1)))).alias("block_idx"),
+        (F.col("__p") >= order.n).alias("is_pad"),
+    )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import format_elapsed, round_up
+from ..functions.permute import Permutation
 from ..operators import artifacts as A
 from ..operators import budget as G
 from ..operators import collate as C
@@ -323,6 +324,17 @@ def rank_shards(spark, sf):
     return _shuffled_ranks(_totals(spark, sf), BLOCK).select("block_idx", "rank", "pos", "is_pad")
 
 
+# The optimizer step that an interrupted epoch goes on from.
+RESUME_STEP = 2
+
+
+def resume_epoch(spark, sf):
+    """What is left of an epoch's training blocks, from an optimizer step on."""
+    n = P.block_counts(_totals(spark, sf), BLOCK).filter(_of("train")).first()
+    order = Permutation(n["n"] if n else 0, SEED, EPOCH)
+    return L.resume_epoch(spark, order, WORLD, MICRO, ACCUM, RESUME_STEP)
+
+
 def optimizer_steps(spark, sf):
     dealt = L.batches(_shuffled_ranks(_totals(spark, sf), BLOCK), MICRO)
     return L.check_steps(L.accumulate(dealt, ACCUM), MICRO * WORLD * ACCUM)
@@ -639,6 +651,7 @@ def queries() -> dict[str, Query]:
         "eval_limit": eval_limit,
         "rank_shards": rank_shards,
         "optimizer_steps": optimizer_steps,
+        "resume_epoch": resume_epoch,
         "due_steps": due_steps,
         "collate_pad": collate_pad,
         "feed_clm": feed_clm,

@@ -20,6 +20,7 @@ from .catalog import (
     MASK_P,
     MICRO,
     MODEL_VOCAB,
+    RESUME_STEP,
     ROWS,
     SAVE_EVERY,
     SEED,
@@ -251,6 +252,16 @@ acted AS (
                  WHEN draw < '{mid}' THEN 2 ELSE 3 END AS action FROM drawn)"""
 
 
+def turned() -> str:
+    """One pass of ``x`` through the network of ``ab``: a subquery per round, each shifting one half by the other."""
+    rows = "SELECT p, n, a, b, x // b AS l, x % b AS r FROM src"
+    for number in range(6):
+        half, by, size = ("l", "r", "a") if number % 2 == 0 else ("r", "l", "b")
+        shift = hex_long(f"'{SEED}|{EPOCH}|{number}|' || {by}", 15)
+        rows = f"SELECT p, n, a, b, {by}, ({half} + {shift} % {size}) % {size} AS {half} FROM ({rows})"
+    return f"SELECT p, n, a, b, l * b + r AS x FROM ({rows})"
+
+
 RUN_TOTALS = f"""
 WITH {STEPS} SELECT run_id,
   CAST(coalesce(sum(batch_size * 4) FILTER (rank = 0 AND phase = 'train'), 0) AS BIGINT) AS samples,
@@ -344,6 +355,18 @@ SELECT block_idx, rank, rank_pos AS pos, is_pad FROM dealt""",
 WITH {block_rows(BLOCK, ROWS)}, {SHUFFLED}, {dealt("shuffled")}
 SELECT split, batch_idx // {ACCUM} AS step, count(*) AS rows, count(*) = {MICRO * WORLD * ACCUM} AS "full"
 FROM dealt GROUP BY split, batch_idx // {ACCUM}""",
+        "resume_epoch": f"""
+WITH RECURSIVE {block_rows(BLOCK, ROWS)},
+sized AS (SELECT count(*) AS n FROM blocks WHERE split = 'train'),
+root AS (SELECT n, CAST(ceil(sqrt(n)) AS BIGINT) AS a FROM sized),
+ab AS (SELECT n, a, (n + a - 1) // a AS b FROM root),
+slots AS (SELECT n, a, b, unnest(range({RESUME_STEP * WORLD * MICRO * ACCUM}, (n + {WORLD - 1}) // {WORLD} * {WORLD})) AS p FROM ab),
+walks AS (
+  SELECT * FROM (WITH src AS (SELECT p, n, a, b, p % n AS x FROM slots) {turned()})
+  UNION ALL
+  SELECT * FROM (WITH src AS (SELECT * FROM walks WHERE x >= n) {turned()}))
+SELECT p // {WORLD} // {MICRO} // {ACCUM} AS step, p % {WORLD} AS rank, p // {WORLD} // {MICRO} AS batch_idx,
+  p // {WORLD} % {MICRO} AS slot, CAST(x AS BIGINT) AS block_idx, p >= n AS is_pad FROM walks WHERE x < n""",
         "due_steps": f"""
 WITH {STEPS}, p AS (SELECT run_id, passes FROM steps WHERE rank = 0 AND phase = 'train'),
 m AS (SELECT run_id, passes, passes // {LOG_ACCUM} AS step,

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from blockloom.functions import draws as D
+from blockloom.functions.permute import Permutation
 from blockloom.operators import collate as C
 from blockloom.operators import loading as L
 
@@ -144,3 +145,30 @@ def test_thresholds():
     assert D.threshold(0) == "00000000"
     assert D.threshold(0.5) == "80000000"
     assert D.threshold(1.0) > "ffffffff"
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 16, 17, 99, 1000, 12_345])
+def test_permutation_meets_every_block_once_and_turns_back(spark, n):
+    order = Permutation(n, 5, 2)
+    df = spark.range(n).select("id", order.block_at(F.col("id")).alias("b"))
+    rows = df.select("id", "b", order.position_of(F.col("b")).alias("back")).collect()
+    assert sorted(r["b"] for r in rows) == list(range(n))
+    assert all(r["back"] == r["id"] for r in rows)
+    if n >= 99:
+        other = [r[0] for r in spark.range(n).select(Permutation(n, 5, 3).block_at(F.col("id"))).collect()]
+        assert sum(a == r["b"] for a, r in zip(other, rows)) < n / 10
+        assert sum(r["id"] == r["b"] for r in rows) < n / 10
+
+
+def test_a_resumed_epoch_is_the_rest_of_the_whole_one(spark):
+    order = Permutation(103, 1, 0)
+    whole = L.resume_epoch(spark, order, 4, 3, 2)
+    rows = whole.collect()
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    assert sorted(r["block_idx"] for r in rows if not r["is_pad"]) == list(range(103)) and len(rows) == 104
+    assert all(0 <= r["slot"] < 3 and r["step"] == r["batch_idx"] // 2 for r in rows)
+    for step in (1, 3, 50):
+        rest = L.resume_epoch(spark, order, 4, 3, 2, step).collect()
+        assert sorted(map(tuple, rest)) == sorted(tuple(r) for r in rows if r["step"] >= step)
+    assert L.resume_epoch(spark, Permutation(0, 1, 0), 4, 3, 2).collect() == []
