@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,7 +44,7 @@ def add_columns(
     """Add columns worked out from one text column; other columns pass through untouched.
 
     ``kernel()`` runs once per task and gives a function from a list of texts (nulls as ``""``) to
-    one list per new field. Columns of ``df`` with the name of a new field are replaced.
+    one list or Arrow array per new field. Columns of ``df`` with the name of a new field are replaced.
     """
     new = T._parse_datatype_string(fields)
     kept = [c for c in df.columns if c not in new.fieldNames()]
@@ -62,7 +62,8 @@ def add_columns(
             for part in parts(batch, source):
                 made = work([t or "" for t in part.column(source).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, *[pa.array(v, t) for v, t in zip(made, arrow, strict=True)]], names
+                    [*part.columns, *[v.cast(t) if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(made, arrow, strict=True)]],
+                    names,
                 )
 
     return df.mapInArrow(run, schema)
@@ -77,6 +78,27 @@ def snapshot(df: DataFrame, purpose: str) -> DataFrame:
     return stored(df.withColumn(ROW, F.monotonically_increasing_id()), purpose)
 
 
-def keep_rows(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of a snapshot whose ids are in ``kept``, without the id."""
-    return rows.join(kept.select(ROW), ROW, "left_semi").drop(ROW)
+# Rows of a narrow table up to which it is broadcast, at less than a hundred bytes each.
+FEW_ROWS = 1_000_000
+
+
+def small_side(rows: DataFrame) -> DataFrame:
+    """A stored narrow table for the right side of a join: broadcast if its rows are few, else left to Spark."""
+    return F.broadcast(rows) if rows.count() <= FEW_ROWS else rows
+
+
+def keep_decided(docs: DataFrame, decided: DataFrame, digest: Column, key: str = "doc_id") -> DataFrame:
+    """One row of ``docs`` for every ``(key, text_digest, copies, keep)`` that is kept, columns unchanged.
+
+    Rows are told apart by key and text (``digest`` works its digest out), so no copy of the texts is
+    written. Only names that are dropped, or that have several rows, are looked up; where these are few,
+    documents stay where they are.
+    """
+    marked = docs.withColumn(ROW, digest)
+    touched = decided.filter(~F.col("keep") | (F.col("copies") > 1))
+    touched = stored(touched.select(F.col(key).alias("__bl_key"), F.col("text_digest").alias("__bl_digest"), "keep"), "touched-names")
+    here = F.col(key).eqNullSafe(F.col("__bl_key")) & (F.col(ROW) == F.col("__bl_digest"))
+    others = marked.join(small_side(touched.drop("keep")), here, "left_anti")
+    several = stored(touched.filter("keep").drop("keep"), "repeated-names")
+    one_each = marked.join(small_side(several), here, "left_semi").dropDuplicates([key, ROW])
+    return others.unionByName(one_each).drop(ROW)
