@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .rows import ROW, keep_rows, snapshot
+from .exact_dedup import text_digest
+from .rows import ROW, small_side, snapshot
 
 WINDOW = 10
 # Window hashes that may go into the plan as a set: 8 bytes each, sent to every task.
@@ -154,9 +155,18 @@ def contamination(
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", n: int = WINDOW) -> DataFrame:
-    """The documents without any hit, columns unchanged."""
-    rows = snapshot(docs, "decontaminate")
-    return keep_rows(rows, contamination(rows, benchmark, text, n).filter("n_hit = 0"))
+    """The documents without any hit, columns unchanged.
+
+    A null text has no words and stays, and so do all rows if the benchmark is empty. Repeated rows share their
+    fate: texts are told apart by their digests, and documents stay where they are while those that go are
+    few. An empty table gives an empty one.
+    """
+    digest = text_digest(F.col(text))
+    rows = docs.select(digest.alias(ROW), F.col(text).alias("text"))
+    hit = contamination(rows, benchmark, "text", n).filter("n_hit > 0")
+    hit = stored(hit.select(F.col(ROW).alias("__bl_digest")).distinct(), "contaminated-texts")
+    marked = docs.withColumn(ROW, digest)
+    return marked.join(small_side(hit), F.col(ROW) == F.col("__bl_digest"), "left_anti").drop(ROW)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", n: int = WINDOW) -> DataFrame:

@@ -109,9 +109,12 @@ class DigestStore:
         self.table, self.shards = table, shards
 
     @staticmethod
-    def build(groups: DataFrame, shard_digests: int = SHARD_DIGESTS) -> DigestStore:
-        """From ``(digest, winner, copies)`` with distinct digests; no rows give an empty store."""
-        shards = max(1, -(-groups.count() // shard_digests))
+    def build(groups: DataFrame, shard_digests: int = SHARD_DIGESTS, asked: int = 0) -> DigestStore:
+        """From ``(digest, winner, copies)`` with distinct digests; no rows give an empty store.
+
+        ``asked`` is how many digests will be looked up: a shard is to hold few of these, too.
+        """
+        shards = max(1, -(-max(groups.count(), asked) // shard_digests))
         winner = groups.schema["winner"].dataType
         schema = T.StructType(
             [
@@ -208,8 +211,9 @@ def exact_duplicates(
     old = F.coalesce(history, F.lit(False)) if history is not None else F.lit(False)
     src = docs.select(F.col(key).alias("key"), text_digest(F.col(text)).alias("digest"), old.alias("old"))
     rows = stored(src, "digests")
-    before = DigestStore.build(stored(group_digests(rows.filter("old")), "earlier-groups"))
-    fresh = stored(before.lookup(group_digests(rows.filter(~F.col("old")))), "lookups")
+    new = stored(group_digests(rows.filter(~F.col("old"))), "new-groups")
+    before = DigestStore.build(stored(group_digests(rows.filter("old")), "earlier-groups"), asked=new.count())
+    fresh = stored(before.lookup(new), "lookups")
     # Repeats are settled by their slot; texts that the store does not know make their own groups.
     repeats = fresh.filter("member").select(
         "digest",

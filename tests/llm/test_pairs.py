@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from blockloom.llm import exact_dedup, jaccard, simhash
 from blockloom.llm.components import connected_components
-from blockloom.llm.rows import snapshot
 
 
 def test_near_duplicates_equal_brute_force(docs, texts):
@@ -126,6 +125,18 @@ def _edited(rng, text, share):
     return " ".join("edit" + str(rng.randrange(10**6)) if rng.random() < share else w for w in text.split())
 
 
+@pytest.mark.parametrize("history", [None, "doc_id < 3"])
+def test_shards_follow_what_is_asked(spark, monkeypatch, history):
+    monkeypatch.setattr(exact_dedup, "SHARD_DIGESTS", 20)
+    monkeypatch.setattr(exact_dedup.DigestStore.build, "__defaults__", (20, 0))
+    made, build = [], exact_dedup.DigestStore.build
+    monkeypatch.setattr(exact_dedup.DigestStore, "build", staticmethod(lambda *a, **k: made.append(build(*a, **k)) or made[-1]))
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), (F.col("id") % 1500).cast("string").alias("text"))
+    found = exact_dedup.exact_duplicates(docs, history=F.expr(history) if history else None)
+    assert found.groupBy("copies").count().orderBy("copies").collect() == [(1, 1000), (2, 1000)]
+    assert made[0].shards == 75
+
+
 @pytest.mark.parametrize("common", [10, 2])
 def test_jaccard_components_equal_brute_force(spark, docs, texts, monkeypatch, common):
     """Copies of about 60 to 600 words with words changed, most of them more than 3 bits apart."""
@@ -138,8 +149,11 @@ def test_jaccard_components_equal_brute_force(spark, docs, texts, monkeypatch, c
         rows += [(1000 + 20 * at + i, _edited(rng, base, 0.03) + " a very common line of words at the end") for i in range(12)]
         rows += [(1015 + 20 * at, base.upper()), (1016 + 20 * at, base + " one more")]
     monkeypatch.setattr(jaccard, "COMMON", common)
-    snap = snapshot(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "test")
-    got = sorted(((r["doc_id"], r["component"]) for r in jaccard.near_duplicates(snap).collect()), key=str)
+    monkeypatch.setattr(jaccard, "HOT_TEXTS", 6 if common == 2 else 20_000)
+    monkeypatch.setattr(jaccard, "CHECKS", 1)
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumns({c: F.lit(1) for c in ("key", "digest", "id", "n")})
+    found = jaccard.near_duplicates(table).collect()
+    got = sorted(((r["doc_id"], r["component"]["key"]) for r in found for _ in range(r["copies"])), key=str)
 
     root = alike([t for _, t in rows])
     assert got == sorted(zip([i for i, _ in rows], named([i for i, _ in rows], root)), key=str)
@@ -148,4 +162,20 @@ def test_jaccard_components_equal_brute_force(spark, docs, texts, monkeypatch, c
 
 
 def test_jaccard_of_nothing(empty):
-    assert jaccard.near_duplicates(snapshot(empty, "test")).collect() == []
+    assert jaccard.near_duplicates(empty).collect() == []
+
+
+def test_sketches_never_refuse_similar_sets():
+    rng = np.random.default_rng(4)
+    refused = 0
+    for _ in range(600):
+        n = int(rng.integers(1, 900))
+        base = rng.integers(0, 2**63, n).astype(np.uint64)
+        other = np.unique(np.concatenate([base[rng.random(n) < rng.uniform(0.5, 1)], rng.integers(0, 2**63, int(rng.integers(0, n // 3 + 2))).astype(np.uint64)]))
+        base = np.unique(base)
+        same = jaccard.similar(set(base.tolist()), set(other.tolist()))
+        kept = jaccard.plausible(len(base), len(other), jaccard.odd_sketch(base), jaccard.odd_sketch(other))
+        assert kept or not same
+        refused += not kept
+        assert jaccard.plausible(len(other), len(base), jaccard.odd_sketch(other), jaccard.odd_sketch(base)) == kept
+    assert refused > 200

@@ -95,6 +95,31 @@ def test_worklist_ends():
     assert secrets.scan_text(bomb) == ([], [])
 
 
+@pytest.mark.parametrize("wrap", ["base64", "lines", "gzip", "percent"])
+def test_runs_across_a_piece_border_are_whole(wrap):
+    rng = random.Random(1)
+    filler = "".join(rng.choice("ghijk mnop") for _ in range(130_000))
+    inner = f"{filler} {SECRET} {filler}".encode()
+    blob = {
+        "base64": lambda: base64.b64encode(inner),
+        "lines": lambda: base64.encodebytes(inner),
+        "gzip": lambda: gzip.compress(inner + bytes(rng.randrange(256) for _ in range(200_000))),
+        "percent": lambda: urllib.parse.quote(SECRET * 40, safe="").encode(),
+    }[wrap]()
+    for before in (0, secrets.PIECE_BYTES - len(blob) // 2, secrets.PIECE_BYTES - 20):
+        text = base64.b64encode(gzip.compress(b". " * (before // 2) + blob + b" ." * 300_000)).decode()
+        assert {k for _, k, _ in secrets.scan_text(text)[1]} >= {0, 1, 2}, (wrap, before)
+
+
+def test_time_is_linear_in_what_looks_like_streams():
+    import time
+
+    for text in ("x^2 + y " * 130_000, "\x1f\x8b\x08" * 100_000):
+        begin = time.process_time()
+        assert secrets.scan_text(text) == ([], [])
+        assert time.process_time() - begin < 15
+
+
 def test_secret_rows(docs, texts, empty):
     got = {(r["doc_id"], r["base"]) for r in secrets.scan_secrets(docs).collect()}
     assert got == {(i, ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in plain_secrets(t))) for i, t in texts}
