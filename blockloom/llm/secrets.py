@@ -54,6 +54,9 @@ BASE64_LINES = re.compile(
 BASE64_OTHER = re.compile(r"[^A-Za-z0-9+/_-]+")
 # How the streams of gzip, bzip2, xz and zlib begin.
 STREAM = re.compile("\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|x[\x01^\x9c\xda]")
+STREAM_BYTES = re.compile(STREAM.pattern.encode("latin-1"))
+# Bytes that encoded runs are made of.
+RUN = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=%\\&#;{}"
 # Without one of these, decoded bytes hold neither a secret nor another layer.
 WORTH = re.compile(
     STREAM.pattern
@@ -63,6 +66,9 @@ WORTH = re.compile(
 # A compressed stream is unwrapped in pieces that overlap, so memory is bounded by the piece and
 # not by what a stream unfolds to.
 PIECE_BYTES, OVERLAP_BYTES = 4 << 20, 64 << 10
+# What is read of a possible stream at first, and how far into a gzip or zlib stream its content begins at the
+# latest: its head holds at most 64 kB of extra data and a name.
+FIRST_BYTES, HEAD_BYTES = 512, 72 << 10
 # Streams directly inside each other that are unwrapped on the fly; deeper ones are layers of their own.
 MOST_WRAPS = 16
 WIDE = re.compile("[^\x00-\xff]")
@@ -205,10 +211,10 @@ class Stream:
     """
 
     def __init__(self, source: Iterator[bytes]):
-        self.source, self.rest = source, 0
+        self.source, self.rest, self.ended = source, 0, False
 
     def __iter__(self) -> Iterator[bytes]:
-        unzip, data = None, b""
+        unzip, data, silent = None, b"", 0
         for chunk in self.source:
             data += chunk
             while data:
@@ -220,8 +226,12 @@ class Stream:
                     if unzip is None:
                         self.rest = len(data)
                         return
+                    self.ended = False
                 try:
                     got = unzip.decompress(data, PIECE_BYTES)
+                    silent = 0 if got else silent + len(data)
+                    if silent > HEAD_BYTES and hasattr(unzip, "unconsumed_tail"):
+                        return
                     while got or not getattr(unzip, "needs_input", True):
                         if got:
                             yield got
@@ -232,22 +242,75 @@ class Stream:
                 except (zlib.error, OSError, EOFError, lzma.LZMAError):
                     return
                 data = unzip.unused_data if unzip.eof else b""
+                self.rest = len(data)
                 if unzip.eof:
-                    unzip = None
+                    unzip, self.ended, silent = None, True, 0
 
 
 def _pieces(chunks: Iterator[bytes]) -> Iterator[bytes]:
-    """Chunks put together to pieces that overlap."""
-    held, new = b"", 0
+    """Chunks put together to pieces that overlap.
+
+    An encoded run or a stream that is open at the end of a piece is carried whole into the next one, so
+    nothing is cut in two; memory is bounded by the piece and by the longest such run.
+    """
+    held, new, wait = b"", 0, PIECE_BYTES
     for chunk in chunks:
         held, new = held + chunk, new + len(chunk)
-        if new >= PIECE_BYTES:
+        if new >= wait:
+            keep = min(max(len(held) - OVERLAP_BYTES, 0), _open_from(held))
+            if keep <= len(held) // 2 and keep < len(held) - PIECE_BYTES:
+                # Nearly all of it is open: look again when it has doubled.
+                wait = new + len(held)
+                continue
             yield held
-            held, new = held[-OVERLAP_BYTES:], 0
+            held, new, wait = held[keep:], 0, PIECE_BYTES
     if new:
         yield held
 
 
+def _open_from(data: bytes) -> int:
+    """Where the encoded run or the stream that goes on after the end of the data begins; its length, if none does."""
+    at = len(data)
+    while True:
+        run = len(data[:at].rstrip(RUN))
+        if at - run < 16 and at < len(data):
+            break
+        at = run
+        # A full line before it may be part of the same run.
+        before = len(data[:at].rstrip(b"\r\n\t "))
+        if not before or before == at:
+            break
+        last = len(data[:before].rstrip(RUN))
+        if before - last < 16:
+            break
+        at = before
+    begin = 0
+    while begin < at and (m := STREAM_BYTES.search(data, begin)):
+        end = _stream_end(data, m.start())
+        if end is None:
+            return min(at, m.start())
+        begin = max(end, m.start() + 1)
+    return at
+
+
+def _stream_end(data: bytes, start: int) -> int | None:
+    """End of the stream at ``start``; 0 if there is none, and ``None`` if it goes on after the data."""
+    unzip, at, size = _opened(data[start : start + 8]), start, FIRST_BYTES
+    if unzip is None:
+        return 0
+    try:
+        while at < len(data):
+            part, at, size = data[at : at + size], min(at + size, len(data)), 2 * size
+            unzip.decompress(part, PIECE_BYTES)
+            while not unzip.eof and (getattr(unzip, "unconsumed_tail", b"") or not getattr(unzip, "needs_input", True)):
+                unzip.decompress(getattr(unzip, "unconsumed_tail", b""), PIECE_BYTES)
+            if unzip.eof:
+                return at - len(unzip.unused_data)
+    except (zlib.error, OSError, EOFError, lzma.LZMAError):
+        return 0
+    return None
+
+
 def _unfolded(source: Iterator[bytes]) -> Iterator[bytes]:
     """Content of a stream to the bottom: what begins as a stream itself is unwrapped without being held."""
     for _ in range(MOST_WRAPS):
@@ -263,17 +326,30 @@ def _unfolded(source: Iterator[bytes]) -> Iterator[bytes]:
 
 def _streams(layer: Layer) -> Iterator[Layer]:
     """Layers out of the compressed bytes of a layer, wherever they begin."""
-    text, at = layer.text, 0
+    text, at, stop = layer.text, 0, 0
     while m := STREAM.search(text, at):
         start = m.start()
-        wide = WIDE.search(text, start)
-        stop = wide.start() if wide else len(text)
-        stream = Stream(iter([text[start:stop].encode("latin-1")]))
+        if start >= stop:
+            wide = WIDE.search(text, start)
+            stop = wide.start() if wide else len(text)
+        read = start
+
+        def source(size: int = FIRST_BYTES) -> Iterator[bytes]:
+            # Little at first: most that looks like the head of a stream is none.
+            nonlocal read
+            while read < stop:
+                part = text[read : min(read + size, stop)].encode("latin-1")
+                read, size = read + len(part), min(2 * size, PIECE_BYTES)
+                yield part
+
+        stream = Stream(source())
         found = False
         for piece in _pieces(_unfolded(iter(stream))):
-            found = True
-            yield layer.inner([(piece.decode("latin-1"), start, stop - stream.rest)])
-        at = stop - stream.rest if found and stream.rest else start + 1
+            found, inside = True, piece.decode("latin-1")
+            if WORTH.search(inside):
+                yield layer.inner([(inside, start, read - stream.rest)])
+        end = read - stream.rest
+        at = end if found and stream.ended and end < stop else start + 1
 
 
 def _base64(layer: Layer, start: int, end: int) -> Iterator[Layer]:
