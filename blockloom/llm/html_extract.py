@@ -38,12 +38,17 @@ LAYOUTS = 4
 # Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset(
-    "script style noscript template head title svg math iframe object canvas audio video select option textarea button".split()
+    "script style noscript template head title svg iframe object canvas audio video select option textarea button "
+    # A formula once more, as its source.
+    "annotation annotation-xml".split()
 )
 RAW = frozenset("script style textarea title iframe noscript xmp".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span "
-    "strike strong sub sup time tt u var wbr br input".split()
+    "strike strong sub sup time tt u var wbr br input "
+    # Formulas.
+    "math semantics mrow mi mn mo ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover mfenced "
+    "menclose mpadded mphantom mstyle mtable mtr mtd".split()
 )
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 "
@@ -152,11 +157,15 @@ def parse(page: str) -> Node:
             links -= tag == "a"
         del stack[depth:]
 
-    for m in TAG.finditer(page):
+    # No tag ends behind the last ">": looking for one there would start again at every "<".
+    last = page.rfind(">") + 1
+    for m in TAG.finditer(page, 0, last):
         if m.start() < at:
             continue  # inside raw text
         text(at, m.start())
         at = m.end()
+        if at == last and m[0].startswith("<!--") and not m[0].endswith("-->") and m[0] != "<!-->":
+            at = len(page)  # a comment that is never closed
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
@@ -198,7 +207,8 @@ def parse(page: str) -> Node:
         words, hidden = _attribute_words(attributes) if attributes.strip() else ((), False)
         if tag in HIDDEN or hidden or node is None:
             inner = None
-        elif tag in INLINE and not any(w != GOOD_WORDS for w in words):
+        elif tag in INLINE:
+            # Part of the sentence around it, whatever it calls itself.
             inner = node
         else:
             truth = None

@@ -148,6 +148,32 @@ def test_pages_of_the_fixture(spark, forest, sf):
         assert r["text"] == "\n\n".join(b for b in blocks if b)
 
 
+FLOW = """<html><body><nav class="menu"><a href=1>Home</a> <a href=2>News</a></nav><article><h1>A title of some length</h1>
+<p>Start of it <a class="related-link" href=x>linked words</a> and <span class="ad-free">the rest</span> of the first sentence here.</p>
+<p>The law <math><semantics><mrow><mi>a</mi><mo>=</mo><mi>b</mi></mrow><annotation>a=b</annotation></semantics></math> holds in all of these cases, as we know.</p>
+<p>A last paragraph with enough words in it to be one of the article.</p></article><footer class="footer">imprint</footer></body></html>"""
+
+
+def test_inline_elements_stay_in_their_sentence(spark, forest):
+    df = spark.createDataFrame([(1, FLOW)], "page_id long, html string")
+    assert html_extract.extract(df, forest).first()["text"].split("\n\n") == [
+        "A title of some length",
+        "Start of it linked words and the rest of the first sentence here.",
+        "The law a=b holds in all of these cases, as we know.",
+        "A last paragraph with enough words in it to be one of the article.",
+    ]
+
+
+def test_tags_that_never_end_take_linear_time():
+    import time
+
+    begin = time.process_time()
+    for page in ("<a " * 200_000, "<a 'b" * 200_000, "<p>x<!-- " + "<a " * 100_000, "<" * 300_000):
+        html_extract.parse(page)
+    assert time.process_time() - begin < 20
+    assert html_extract.parse("<p>x<!-- > y <b").children[0].parts == html_extract.parse("<p>x").children[0].parts
+
+
 def test_no_choice_contradicts_the_one_above(forest):
     nodes = html_extract.order(html_extract.parse(PAGE))
     keep = html_extract.decode(nodes, forest.log_odds(html_extract.features(nodes).astype(float)))
