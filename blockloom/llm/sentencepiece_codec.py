@@ -29,9 +29,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SPACE = "▁"
 # Score of a character outside the pieces: below the worst piece by this much.
 UNKNOWN_PENALTY = 10.0
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
+# Characters of texts that are cut into words at a time.
+GROUP_CHARS = 1 << 20
 # Words segmented together, and the longest one that is, or that is remembered.
-CHUNK_WORDS, LONG_WORD = 20_000, 64
+CHUNK_WORDS, LONG_WORD = 8_000, 64
 # Types of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -130,7 +132,7 @@ class Encoder:
         # A character of no piece ends every piece before it.
         self.lines = "\n" not in held
         self.memo: dict[str, int] = {}
-        self._keep(np.zeros(0, np.int64), np.zeros(1, np.int64))
+        self._keep(np.zeros(0, np.int32), np.zeros(1, np.int64))
 
     def _keep(self, flat: np.ndarray, offsets: np.ndarray) -> None:
         # Segmentation ``code`` is flat[offsets[code]:offsets[code + 1]]; ``used`` counts its occurrences.
@@ -184,7 +186,7 @@ class Encoder:
         length = np.array([len(w) for w in words], np.int64)
         first = np.concatenate([[0], np.cumsum(length + 1)])
         text = self.between.join(words) + self.between
-        pairs = np.dtype([("last", "i8"), ("id", "i8")])
+        pairs = np.dtype([("last", "i4"), ("id", "i4")])
         found = np.fromiter(self.automaton.iter(text) if self.usable else (), pairs)
         word = np.searchsorted(first, found["last"], side="right") - 1
         end, ident = found["last"] - first[word] + 1, found["id"]
@@ -194,7 +196,7 @@ class Encoder:
         open_[word[size == 1], end[size == 1] - 1] = False
         best = np.full((len(words), LONG_WORD + 1), -np.inf)
         best[:, 0] = 0.0
-        piece = np.full((len(words), LONG_WORD + 1), -1)
+        piece = np.full((len(words), LONG_WORD + 1), -1, np.int32)
         # Matches come by word and place, the longest piece first; the sort by place leaves the rest as it is.
         order = np.argsort(end.astype(np.uint8), kind="stable")
         word, end, ident, size = word[order], end[order], ident[order], size[order]
@@ -258,7 +260,7 @@ class Encoder:
             counts.append(np.array([len(learned[-1])]))
         words += alone
         self.memo.update(zip(words, range(len(self.used), len(self.used) + len(words))))
-        self.flat = np.concatenate([self.flat, *learned])
+        self.flat = np.concatenate([self.flat, *learned]).astype(np.int32)
         self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(np.concatenate(counts))])
         self.used = np.concatenate([self.used, np.zeros(len(words), np.int64)])
 
@@ -276,6 +278,20 @@ class Encoder:
 
     def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the places where each text's begin; one more for the end."""
+        found, sizes, begin = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+        while begin < len(texts):
+            end, held = begin, 0
+            while end < len(texts) and (end == begin or held + len(texts[end]) <= GROUP_CHARS):
+                held += len(texts[end])
+                end += 1
+            ids, size = self._encode_group(texts[begin:end])
+            found.append(ids)
+            sizes.append(size)
+            begin = end
+        return np.concatenate(found), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+    def _encode_group(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some texts, and how many each has."""
         per_text, words = np.zeros(len(texts), np.int64), []
         for i, text in enumerate(texts):
             if text:
@@ -296,7 +312,7 @@ class Encoder:
         offsets = ends[np.concatenate([[0], np.cumsum(per_text)])]
         if len(self.memo) > MEMO_WORDS or any(len(w) > LONG_WORD for w in new):
             self._forget()
-        return ids, offsets
+        return ids, np.diff(offsets)
 
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0].tolist()
