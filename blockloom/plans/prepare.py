@@ -15,6 +15,7 @@ from ..operators import collate, loading
 from ..operators.packing import GROUP, assign_batches, number_rows, pack
 from ..operators.tokens import attention_mask, tokenize, tokenize_with_file
 from ..schemas import PACK_BATCH_ROWS, SPECIALS
+from ..session import stored
 from ..sources.prepared import (
     cache_key,
     find_prepared,
@@ -204,7 +205,8 @@ def feed(
     (``spark.sql.requireAllClusterKeysForCoPartition`` off).
     """
     keys = [*GROUP, "blk"]
-    narrow = number_rows(blocks.select(*keys, "length"))
+    # Read several times below, so it is written down once: five numbers a block.
+    narrow = stored(number_rows(blocks.select(*keys, "length")), "block-numbers")
     train = loading.shuffle(narrow.filter(F.col("split") == "train"), seed, epoch)
     rest = narrow.filter(F.col("split") != "train").withColumn("pos", F.col("block_idx"))
     counts = narrow.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
