@@ -35,8 +35,9 @@ WORD_PATTERN = r"[A-Za-z0-9]+|[^A-Za-z0-9\s]"
 # The same split for kernels, as marks to set apart and white space to cut at.
 MARK_PATTERN = r"([^A-Za-z0-9 \t\n\x0b\f\r])"
 
-# Bytes of text that one kernel call takes; larger batches of rows go through in parts.
-PART_BYTES = 32 << 20
+# Bytes of text that one kernel call takes; larger batches of rows go through in parts. Kernels need about ten
+# times as much for words, offsets and ids, and a serialized tokenizer a hundred times, so it gets fewer.
+PART_BYTES, ENCODE_BYTES = 2 << 20, 512 << 10
 
 # A vocabulary is a model parameter, not corpus data; this is far above any in use.
 MAX_VOCAB = 4_000_000
@@ -47,10 +48,10 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0))
 
 
-def _parts(texts: pa.Array) -> Iterator[pa.Array]:
-    # Cut where the running byte count passes a multiple of PART_BYTES.
+def _parts(texts: pa.Array, limit: int | None = None) -> Iterator[pa.Array]:
+    # Cut where the running byte count passes a multiple of the limit.
     size = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
-    group = (np.cumsum(size) - size) // PART_BYTES
+    group = (np.cumsum(size) - size) // (limit or PART_BYTES)
     bounds = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
     for lo, hi in zip(bounds, bounds[1:]):
         yield texts.slice(lo, hi - lo)
@@ -71,8 +72,8 @@ def count_tokens(text: Column) -> Column:
     """Number of word tokens, without keeping them."""
 
     @F.arrow_udf("int")
-    def count(texts: pa.Array) -> pa.Array:
-        return pa.concat_arrays([pa.array([], pa.int32()), *[_split_words(part)[1] for part in _parts(texts)]])
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return (_split_words(part)[1] for texts in batches for part in _parts(texts))
 
     return count(F.coalesce(text, F.lit("")))
 
@@ -115,21 +116,26 @@ def load_vocab(vocab: DataFrame) -> pa.Table:
     return table
 
 
+def _known_ids(batches: Iterator[pa.Array], known: pa.Array, ids: pa.Array, unk: int) -> Iterator[pa.Array]:
+    """Ids of the words of every text, a part of a batch at a time."""
+    for texts in batches:
+        # Every call hashes the vocabulary, so a part is no smaller than that.
+        for part in _parts(texts, max(PART_BYTES, known.nbytes)):
+            words, counts = _split_words(part)
+            place = pc.index_in(words, value_set=known.cast(words.type))
+            found = pc.fill_null(pc.take(ids, place), unk).cast(pa.int32())
+            offsets = np.concatenate([[0], np.cumsum(np.asarray(counts), dtype=np.int64)]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(offsets), found)
+
+
 def word_ids(text: Column, vocab: pa.Table, unk: int) -> Column:
     """Ids of the words of a text; words outside the vocabulary give ``unk``."""
     known = vocab["token"].combine_chunks()
     ids = vocab["id"].combine_chunks()
 
     @F.arrow_udf("array<int>")
-    def lookup(texts: pa.Array) -> pa.Array:
-        rows = [pa.array([], pa.list_(pa.int32()))]
-        for part in _parts(texts):
-            words, counts = _split_words(part)
-            place = pc.index_in(words, value_set=known.cast(words.type))
-            found = pc.fill_null(pc.take(ids, place), unk).cast(pa.int32())
-            offsets = np.concatenate([[0], np.cumsum(np.asarray(counts), dtype=np.int64)]).astype(np.int32)
-            rows.append(pa.ListArray.from_arrays(pa.array(offsets), found))
-        return pa.concat_arrays(rows)
+    def lookup(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return _known_ids(batches, known, ids, unk)
 
     return lookup(F.coalesce(text, F.lit("")))
 
@@ -189,25 +195,26 @@ def tokenize(
     )
 
 
+def _encoded(batches: Iterator[pa.Array], tokenizer_json: str) -> Iterator[pa.Array]:
+    """Ids and masks of every text. What the library returns for a text is far larger than its ids: it is let
+    go after a part of a batch."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(tokenizer_json)
+    kind, names = pa.list_(pa.int32()), ["input_ids", "attention_mask", "special_tokens_mask"]
+    for batch in batches:
+        for part in _parts(batch, ENCODE_BYTES):
+            rows = tokenizer.encode_batch([t or "" for t in part.to_pylist()])
+            columns = [[getattr(r, c) for r in rows] for c in ("ids", "attention_mask", "special_tokens_mask")]
+            yield pa.StructArray.from_arrays([pa.array(c, kind) for c in columns], names)
+
+
 def tokenize_with_file(df: DataFrame, tokenizer_json: str, text: str = "text") -> DataFrame:
     """Tokenize with a serialized tokenizer (its JSON text), special tokens as it defines them."""
 
     @F.arrow_udf("struct<input_ids:array<int>,attention_mask:array<int>,special_tokens_mask:array<int>>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(tokenizer_json)
-        kind = pa.list_(pa.int32())
-        for batch in batches:
-            rows = tokenizer.encode_batch([t or "" for t in batch.to_pylist()])
-            yield pa.StructArray.from_arrays(
-                [
-                    pa.array([r.ids for r in rows], kind),
-                    pa.array([r.attention_mask for r in rows], kind),
-                    pa.array([r.special_tokens_mask for r in rows], kind),
-                ],
-                ["input_ids", "attention_mask", "special_tokens_mask"],
-            )
+        return _encoded(batches, tokenizer_json)
 
     encoded = df.withColumn("__enc", encode(F.col(text))).drop(text)
     return encoded.select(

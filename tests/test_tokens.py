@@ -114,6 +114,17 @@ def test_batches_go_through_in_parts(monkeypatch, limit):
     assert sum(len(T._split_words(p)[0]) for p in parts) == 9
 
 
+def test_kernels_give_a_batch_in_small_parts(vocab):
+    text = "the cat, the dog. " * 500
+    batch = pa.array([text, None, ""] * 1000)
+    found = list(T._known_ids(iter([batch]), vocab["token"].combine_chunks(), vocab["id"].combine_chunks(), 1))
+    assert sum(map(len, found)) == len(batch) and max(map(len, found)) * len(text) <= 3 * (T.PART_BYTES + len(text))
+    # A serialized tokenizer holds about a hundred times the text.
+    batch = batch.slice(0, 300)
+    found = list(T._encoded(iter([batch]), word_tokenizer_json(vocab)))
+    assert sum(map(len, found)) == len(batch) and max(map(len, found)) * len(text) <= 3 * (T.ENCODE_BYTES + len(text))
+
+
 def test_vocab_check(docs, vocab):
     row = T.vocab_check(T.tokenize(docs, vocab), 8).first()
     ids = [i for r in T.tokenize(docs, vocab).collect() for i in r["input_ids"]]
