@@ -27,12 +27,10 @@ def stream_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("text", *file_place())
 
 
-def stream_table(spark: SparkSession, path: str, schema: StructType, pattern: str | None = None) -> DataFrame:
-    """A stream over parquet files that arrive in a folder."""
-    reader = spark.readStream.schema(schema)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    return reader.parquet(path)
+def stream_table(spark: SparkSession, path: str, schema: StructType, name: str | None = None) -> DataFrame:
+    """A stream over parquet files that arrive in a folder, or of the table ``name`` in it: one file or a folder of files."""
+    # A source's path is a folder unless it is a pattern; the file or folder of this name is all that this one matches.
+    return spark.readStream.schema(schema).parquet(f"{path}/{{{name}}}" if name else path)
 
 
 def stream_pack(

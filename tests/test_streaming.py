@@ -1,5 +1,7 @@
 """Streams give what the batch job gives, also when files arrive in several rounds."""
 
+import pytest
+
 from blockloom.operators import tokens as T
 from blockloom.plans import views as V
 from blockloom.plans.prepare import pack_documents
@@ -28,6 +30,18 @@ def test_lines_arriving_in_rounds(spark, tmp_path):
         assert sorted(map(str, part.select(*want.columns).collect())) == sorted(map(str, want.collect()))
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_a_table_in_a_folder_is_streamed(spark, tmp_path, files):
+    from blockloom.plans import catalog
+
+    rows = spark.createDataFrame([(i, f"the cat {i} sat, on {i * 7} mats") for i in range(200)], "doc_id long, text string")
+    rows.repartition(files).write.parquet(str(tmp_path / "documents.parquet"))
+    # Not part of the table.
+    rows.write.parquet(str(tmp_path / "other.parquet"))
+    found = catalog.stream_pack(spark, str(tmp_path)).collect()
+    assert found and sorted(found) == sorted(catalog.pack_blocks(spark, str(tmp_path)).collect())
+
+
 def test_totals_over_several_micro_batches(spark, sf, tmp_path):
     events = V.table(spark, sf, "events")
     source = str(tmp_path / "events")
