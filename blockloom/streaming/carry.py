@@ -25,13 +25,15 @@ from ..operators.tokens import tokenize
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 COLUMNS = ("input_ids", "special_tokens_mask")
+# As they are held until a shard is cut.
+KINDS = (np.int32, np.int8)
 OPEN = "blk long, input_ids array<int>, special_tokens_mask array<int>"
 BLOCKS = "split string, shard long, blk long, input_ids array<int>, special_tokens_mask array<int>"
 # State stores that can keep arbitrary state.
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # Blocks handed to Spark at a time.
-BATCH_BLOCKS = 1024
+BATCH_BLOCKS = 256
 
 
 class CarryPacker(StatefulProcessor):
@@ -47,16 +49,40 @@ class CarryPacker(StatefulProcessor):
         blk, held = 0, [np.zeros(0, np.int32) for _ in COLUMNS]
         if self.open.exists():
             blk, *held = self.open.get()
-        # The documents of one shard in one micro-batch.
-        new = pd.concat(list(rows)).sort_values("order", kind="stable")
-        flat = [np.concatenate([np.asarray(h, np.int32), *new[c]]).astype(np.int32) for h, c in zip(held, COLUMNS)]
-        size = self.block_size
-        full = len(flat[0]) // size
-        self.open.update((int(blk) + full, *[x[full * size :].tolist() for x in flat]))
-        for begin in range(0, full, BATCH_BLOCKS):
-            at = range(begin, min(begin + BATCH_BLOCKS, full))
-            cut = {c: [x[i * size : (i + 1) * size] for i in at] for c, x in zip(COLUMNS, flat)}
-            yield pd.DataFrame({"split": key[0], "shard": key[1], "blk": [int(blk) + i for i in at], **cut})
+        # The documents of one shard in one micro-batch, five bytes a token: rows are let go as they come.
+        orders, counts, flat = [], [], [[np.asarray(h, t)] for h, t in zip(held, KINDS)]
+        for some in rows:
+            orders.append(some["order"].reset_index(drop=True))
+            counts.append(some[COLUMNS[0]].map(len).to_numpy(np.int64))
+            for column, kind, name in zip(flat, KINDS, COLUMNS):
+                column.append(np.concatenate([np.zeros(0, kind), *some[name]]).astype(kind))
+        place = pd.concat(orders, ignore_index=True).sort_values(kind="stable").index.to_numpy()
+        # What was open comes first.
+        count = np.concatenate([[len(flat[0][0])], np.concatenate(counts)[place]])
+        begin = np.concatenate([[len(flat[0][0])], np.concatenate(counts)])
+        begin = np.concatenate([[0], (np.cumsum(begin) - begin)[1:][place]])
+        ends = np.cumsum(count)
+        for i, pieces in enumerate(flat):
+            # One column after the other, so that only one is there twice.
+            flat[i] = np.concatenate(pieces)
+
+        def cut(low: int, high: int) -> list[np.ndarray]:
+            """The tokens ``low … high - 1`` of the shard, in order."""
+            first, last = np.searchsorted(ends, [low, high - 1], side="right") if low < high else (0, -1)
+            docs = np.arange(first, last + 1)
+            start = np.maximum(low - (ends[docs] - count[docs]), 0)
+            size = np.minimum(ends[docs], high) - (ends[docs] - count[docs]) - start
+            at = np.repeat(begin[docs] + start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            return [x[at].astype(np.int32) for x in flat]
+
+        size, total = self.block_size, int(ends[-1])
+        full = total // size
+        self.open.update((int(blk) + full, *[x.tolist() for x in cut(full * size, total)]))
+        for low in range(0, full, BATCH_BLOCKS):
+            n = min(BATCH_BLOCKS, full - low)
+            blocks = [list(x.reshape(n, size)) for x in cut(low * size, (low + n) * size)]
+            numbers = [int(blk) + low + i for i in range(n)]
+            yield pd.DataFrame({"split": key[0], "shard": key[1], "blk": numbers, **dict(zip(COLUMNS, blocks))})
 
     def close(self) -> None:
         pass
@@ -72,7 +98,8 @@ def stream_pack_carry(
 ) -> StreamingQuery:
     """Pack a stream ``(split, key, text)``; only full blocks are written, each once.
 
-    A shard's rows of one micro-batch are held by one task: more shards or smaller micro-batches make them fewer.
+    A shard's rows of one micro-batch are held by one task, at five bytes a token: more shards or smaller micro-batches
+    make them fewer.
     A null split is a split of its own, documents without a key share shard 0.
     """
     if block_size <= 0 or n_shards <= 0:
