@@ -2,8 +2,8 @@
 
 Generators propose spans with high recall: strict patterns, whose valid matches are always kept,
 and loose ones (spelled-out addresses, numbers without a country code, long IP addresses). Each
-candidate becomes a row with features of its format and its context. Trees are fitted on a bounded
-sample of candidates, labelled by the checks that strict matches pass or fail, calibrated on
+candidate becomes a row with features of its format and its context. Trees are fitted on the counts of
+all strict candidates by their binned features, labelled by the checks that strict matches pass or fail, calibrated on
 candidates they have not seen, and scored as one CASE expression per tree. A loose or failing candidate is
 added where its probability reaches the threshold of its kind.
 
@@ -18,12 +18,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .boosting import Forest, boost, calibrate, threshold_for
+from .boosting import Forest, bins_of, boost, calibrate, edges_of, threshold_for, values_of
 from .rows import ROW
 
 KINDS = ("email", "ip", "card", "phone")
-# Candidates that the trees are fitted on, and how often an added span must be right.
-SAMPLE = 20_000
+# Different binned candidates that the trees are fitted on, and how often an added span must be right.
+VECTORS = 100_000
 PRECISION = 0.98
 CONTEXT = 24
 
@@ -160,31 +160,37 @@ def with_features(rows: DataFrame) -> DataFrame:
     return rows.select("*", *[values[f].cast("double").alias(f) for f in FEATURES])
 
 
-def fit(rows: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> tuple[Forest, list[float]]:
-    """Trees and the threshold of each kind, from at most ``sample`` strict candidates.
+def fit(rows: DataFrame, sample: int = VECTORS, precision: float = PRECISION) -> tuple[Forest, list[float]]:
+    """Trees and the threshold of each kind, from all strict candidates.
 
-    Drawn are the smallest hashes of the candidate and its context: candidates with the same hash have
-    the same features, so every run draws the same. A kind without enough right candidates gets a
-    threshold that nothing reaches.
+    Candidates are counted by their features, cut into bins as the trees would cut them; trees, calibration and
+    thresholds take these counts. More than ``sample`` different ones are counted in wider bins: candidates are
+    never left out. The hash of a candidate and its context says whether the trees see it, so every run fits
+    the same. A kind without enough right candidates gets a threshold that nothing reaches.
     """
-    known = rows.filter("strict").withColumn("h", F.xxhash64("m", "l", "r"))
-    total = known.count()
-    cut = int(-(2**63) + min(1.0, 1.1 * sample / max(total, 1)) * (2**64 - 1)) if total > sample else 2**63 - 1
-    # The cut leaves a tenth more than wanted, so that sorting stays small whatever the number of tasks.
-    some = known.filter(F.col("h") <= F.lit(cut)).select("h", "kind", "valid", *FEATURES)
-    drawn = some.orderBy("h", "kind", *FEATURES).limit(sample).collect()
-    if not drawn:
+    unseen = (F.pmod(F.xxhash64("m", "l", "r"), F.lit(4)) == 0).alias("unseen")
+    known = rows.filter("strict").select(unseen, "valid", "kind", *FEATURES)
+    vectors = stored(known.groupBy("unseen", "valid", "kind", *FEATURES).agg(F.count(F.lit(1)).alias("n")), "pii-vectors")
+    edges = edges_of(vectors.filter("not unseen"), list(FEATURES), "n")
+    while True:
+        binned = vectors.select("unseen", "valid", "kind", "n", *bins_of(list(FEATURES), edges))
+        counted = stored(binned.groupBy("unseen", "valid", "kind", *FEATURES).agg(F.sum("n").alias("n")), "pii-counts")
+        if max(map(len, edges)) < 2 or counted.count() <= sample:
+            break
+        edges = [e[len(e) > 1 :: 2] for e in edges]
+    drawn = np.array(sorted(tuple(int(v) for v in r) for r in counted.select("unseen", "valid", "kind", "n", *FEATURES).collect()))
+    if not len(drawn):
         return Forest(0.0, []), [1.01] * len(KINDS)
-    x = np.array([[r[f] for f in FEATURES] for r in drawn])
-    y = np.array([int(r["valid"]) for r in drawn])
-    kind, unseen = np.array([r["kind"] for r in drawn]), np.array([r["h"] for r in drawn]) % 4 == 0
-    forest = calibrate(boost(x[~unseen], y[~unseen]), x[unseen], y[unseen])
+    unseen, y, kind, n = drawn[:, 0] == 1, drawn[:, 1], drawn[:, 2], drawn[:, 3].astype(float)
+    x = values_of(drawn[:, 4:], edges)
+    forest = boost(x[~unseen], y[~unseen], edges=edges, count=n[~unseen])
+    forest = calibrate(forest, x[unseen], y[unseen], n[unseen])
     p = 1 / (1 + np.exp(-np.clip(forest.log_odds(x), -500, 500)))
     limits = []
     for k in range(len(KINDS)):
         some = unseen & (kind == k)
         # At least even odds, so that a kind without wrong candidates does not take everything.
-        limits.append(max(0.5, threshold_for(p[some], y[some], precision)) if some.any() else 1.01)
+        limits.append(max(0.5, threshold_for(p[some], y[some], precision, n[some])) if some.any() else 1.01)
     return forest, limits
 
 
@@ -192,7 +198,7 @@ def _overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
-def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
+def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = VECTORS) -> DataFrame:
     """``(row, key, base, added)`` per row, both arrays of ``(start, kind, end)`` sorted.
 
     ``base`` are the valid strict matches, ``added`` the other candidates that the trees select and

@@ -6,6 +6,7 @@ import random
 import urllib.parse
 
 import public_tokenizers
+import numpy as np
 import pytest
 import sentencepiece
 from brute import benchmark_words, contamination, pii as plain_pii, secrets as plain_secrets, viterbi, words_of
@@ -188,6 +189,37 @@ def test_the_draw_of_candidates_is_repeatable(spark):
     assert thresholds(1) == thresholds(5)
 
 
+@pytest.mark.parametrize("most", [20, 100_000])
+def test_all_candidates_are_learned_from(spark, most):
+    texts = [f"{'from' if i % 3 else 'card'} {'9' * (i % 9)}1.0.{i % 300}.{i} mail {'u' * (i % 50 + 1)}@x.org, +1 55{i} 00{i}" for i in range(500)]
+    src = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], f"{ROW} long, text string")
+    scanned = src.select(ROW, pii.candidates_in(F.col("text")).alias("candidates"))
+    rows = pii.with_features(pii.with_checks(pii.with_offsets(scanned))).cache()
+    forest, limits = pii.fit(rows, sample=most)
+    seen = rows.filter("strict and pmod(xxhash64(m, l, r), 4) != 0").groupBy("valid").count().collect()
+    n = {r["valid"]: r["count"] for r in seen}
+    assert n[True] + n[False] > 1000 and forest.trees
+    assert forest.base == pytest.approx(float(np.log((n[True] + 1) / (n[False] + 1))))
+    # No candidate is left out, whatever the bound: what has wider bins only splits less finely.
+    assert all(0.5 <= t <= 1.01 for t in limits)
+
+
+def test_counted_rows_fit_like_repeated_ones():
+    from blockloom.llm import boosting
+
+    rng = np.random.default_rng(3)
+    x, count = rng.integers(0, 5, (60, 3)).astype(float), rng.integers(1, 6, 60)
+    y = (x.sum(axis=1) + rng.integers(0, 3, 60) > 7).astype(int)
+    edges, many = [np.arange(4) + 0.5] * 3, np.repeat(np.arange(60), count)
+    one = boosting.boost(x, y, edges=edges, count=count.astype(float))
+    other = boosting.boost(x[many], y[many], edges=edges)
+    assert np.allclose(one.raw(x), other.raw(x))
+    one, other = boosting.calibrate(one, x, y, count.astype(float)), boosting.calibrate(other, x[many], y[many])
+    assert np.allclose(one.log_odds(x), other.log_odds(x), atol=1e-4)
+    p = 1 / (1 + np.exp(-one.log_odds(x)))
+    assert boosting.threshold_for(p, y, 0.9, count) == boosting.threshold_for(p[many], y[many], 0.9)
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([("mail a@b.cd or +1 (743) 555-3824.",)], "text string")
     spans = F.array(*[F.struct(F.lit(a).cast("long").alias("start"), F.lit(k).alias("kind"), F.lit(b).cast("long").alias("end")) for a, k, b in plain_pii(df.first()[0])])
