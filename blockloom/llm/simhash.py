@@ -40,6 +40,16 @@ CHUNK_PAIRS = 1 << 21
 CHUNK_SHINGLES = 1 << 16
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of 64-bit hashes, repeats included, as a signed number: bits set in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), CHUNK_SHINGLES):
+        some = np.ascontiguousarray(hashes[at : at + CHUNK_SHINGLES])
+        bits = np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def _kernel():
     from xxhash import xxh64_intdigest
 

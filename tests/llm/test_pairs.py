@@ -161,6 +161,37 @@ def test_jaccard_components_equal_brute_force(spark, docs, texts, monkeypatch, c
     assert sum((fps[i] ^ fps[r]).bit_count() > 3 for i, r in enumerate(root)) > 20
 
 
+def test_near_copies_go_through_fingerprints(spark, texts, monkeypatch):
+    rows = [(i, t) for i, t in enumerate(dict(texts).values()) if t]
+    rng = random.Random(4)
+    long = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(2000)) for _ in range(5)]
+    rows += [(1000 + 2 * i + k, t + " end" * k) for i, t in enumerate(long) for k in range(2)]
+    offered, checked = [], []
+    real, check = jaccard._near_fingerprints, jaccard._checked
+
+    def near(sets):
+        assert {r["fp"] for r in sets.collect()} == {jaccard.majority(jaccard._all_hashes(t)) for _, t in rows}
+        offered.extend(real(sets).collect())
+        return real(sets)
+
+    monkeypatch.setattr(jaccard, "_near_fingerprints", near)
+    monkeypatch.setattr(jaccard, "_checked", lambda pairs, *more: checked.extend(pairs.collect()) or check(pairs, *more))
+    found = {r["doc_id"]: r["component"]["key"] for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[1001 + 2 * i] == 1000 + 2 * i for i in range(5))
+    assert offered and set(offered) & set(checked)
+
+
+def test_fingerprints_of_shingle_hashes():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 7, simhash.CHUNK_SHINGLES + 3):
+        hashes = rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        some = hashes[: 2000 if n > 2000 else n]
+        want = sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in some.tolist()) > len(some))
+        assert simhash.majority(some) % 2**64 == want
+        assert simhash.majority(hashes) % 2 == 1
+    assert simhash.majority(np.zeros(0, np.uint64)) == 0
+
+
 def test_jaccard_of_nothing(empty):
     assert jaccard.near_duplicates(empty).collect() == []
 
