@@ -18,16 +18,16 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROW = "__bl_row"
 
-# Text that a kernel turns into Python objects at a time.
-PART_BYTES = 8 << 20
+# Text that a kernel turns into Python objects at a time; those that add columns hold their results as well.
+PART_BYTES, COLUMN_BYTES = 8 << 20, 2 << 20
 
 
-def parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that each part holds about ``PART_BYTES`` of one string column, one row at least."""
+def parts(batch: pa.RecordBatch, column: int, limit: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that each part holds about ``limit`` bytes of one string column, one row at least."""
     lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
     start, held = 0, 0
     for at, n in enumerate(lengths):
-        if held and held + n > PART_BYTES:
+        if held and held + n > limit:
             yield batch.slice(start, at - start)
             start, held = at, 0
         held += n
@@ -59,7 +59,7 @@ def add_columns(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = kernel()
         for batch in batches:
-            for part in parts(batch, source):
+            for part in parts(batch, source, COLUMN_BYTES):
                 made = work([t or "" for t in part.column(source).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, *[v.cast(t) if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(made, arrow, strict=True)]],

@@ -31,7 +31,7 @@ SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 MEMO_WORDS = 250_000
 # Characters of texts that are cut into words at a time.
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 19
 # Words segmented together, and the longest one that is, or that is remembered.
 CHUNK_WORDS, LONG_WORD = 8_000, 64
 # Types of pieces in a model file.
