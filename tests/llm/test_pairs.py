@@ -210,3 +210,34 @@ def test_sketches_never_refuse_similar_sets():
         refused += not kept
         assert jaccard.plausible(len(other), len(base), jaccard.odd_sketch(other), jaccard.odd_sketch(base)) == kept
     assert refused > 200
+
+
+def test_a_shared_passage_makes_no_pair_of_every_two_texts(spark, monkeypatch):
+    """Texts that have one passage in common, and little else, leave no more candidates than there are texts."""
+    rng = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, passage + " " + " ".join(f"w{rng.getrandbits(40)}" for _ in range(60))) for i in range(60)]
+    rows += [(100 + i, text + " tail") for i, text in rows[:5]]
+    real, made = jaccard._grouped, {}
+
+    def grouped(tokens, work, *more):
+        found = real(tokens, work, *more)
+        made[work.__name__] = found.count()
+        return found
+
+    monkeypatch.setattr(jaccard, "_grouped", grouped)
+    found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component"]["key"] for r in found} == {i: i % 100 for i, _ in rows}
+    assert made["_open"] <= len(rows) and made["_first"] <= 20 * len(rows)
+
+
+def test_sketches_of_many_pairs_at_a_time():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 2**63, k).astype(np.uint64)) for k in (1, 60, 64, 70, 100, 130, 300)]
+    sets += [np.concatenate([s[: len(s) - 2], s[:1] + np.uint64(1)]) for s in sets[1:]]
+    n, sketch = np.array([len(s) for s in sets]), np.empty(len(sets), object)
+    sketch[:] = [jaccard.odd_sketch(s) for s in sets]
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    bits = jaccard._differing(sketch)(i, j)
+    for a, b, odd in zip(i.tolist(), j.tolist(), bits.tolist()):
+        assert (9 * odd <= n[a] + n[b]) == jaccard.plausible(int(n[a]), int(n[b]), sketch[a], sketch[b])
