@@ -40,11 +40,13 @@ def add_columns(
     column: str,
     fields: str,
     kernel: Callable[[], Callable[[list[str]], list[list]]],
+    limit: int = COLUMN_BYTES,
 ) -> DataFrame:
     """Add columns worked out from one text column; other columns pass through untouched.
 
     ``kernel()`` runs once per task and gives a function from a list of texts (nulls as ``""``) to
-    one list or Arrow array per new field. Columns of ``df`` with the name of a new field are replaced.
+    one list or Arrow array per new field; it gets about ``limit`` bytes of text at a time. Columns of
+    ``df`` with the name of a new field are replaced.
     """
     new = T._parse_datatype_string(fields)
     kept = [c for c in df.columns if c not in new.fieldNames()]
@@ -59,7 +61,7 @@ def add_columns(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = kernel()
         for batch in batches:
-            for part in parts(batch, source, COLUMN_BYTES):
+            for part in parts(batch, source, limit):
                 made = work([t or "" for t in part.column(source).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, *[v.cast(t) if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(made, arrow, strict=True)]],

@@ -29,11 +29,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SPACE = "▁"
 # Score of a character outside the pieces: below the worst piece by this much.
 UNKNOWN_PENALTY = 10.0
-MEMO_WORDS = 250_000
-# Characters of texts that are cut into words at a time.
-GROUP_CHARS = 1 << 19
+MEMO_WORDS = 180_000
+# Characters of texts that are cut into words at a time, bytes of text that columns are added to at a time, and ids
+# that are looked up at a time: looking up takes 24 bytes for each that is found.
+GROUP_CHARS, PART_BYTES, CHUNK_IDS = 1 << 18, 1 << 19, 1 << 16
 # Words segmented together, and the longest one that is, or that is remembered.
-CHUNK_WORDS, LONG_WORD = 8_000, 64
+CHUNK_WORDS, LONG_WORD = 4_000, 64
 # Types of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -307,7 +308,7 @@ class Encoder:
         code = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
         self.used += np.bincount(code, minlength=len(self.used))
         size = np.diff(self.offsets)[code]
-        ids = self.flat[_spans(self.offsets[code], size)]
+        ids = _gather(self.flat, self.offsets[code], size)
         ends = np.concatenate([[0], np.cumsum(size)])
         offsets = ends[np.concatenate([[0], np.cumsum(per_text)])]
         if len(self.memo) > MEMO_WORDS or any(len(w) > LONG_WORD for w in new):
@@ -323,6 +324,12 @@ def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
+def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """What ``flat`` holds at ``_spans(start, size)``, found for some spans at a time."""
+    some = [slice(at, at + CHUNK_IDS) for at in range(0, len(start), CHUNK_IDS)]
+    return np.concatenate([flat[:0], *[flat[_spans(start[x], size[x])] for x in some]])
+
+
 class Decoder:
     """The bytes of every piece in one array."""
 
@@ -336,16 +343,13 @@ class Decoder:
     def decode_all(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
         """Texts of ids that ``encode_all`` gave: whole characters, one space before each text."""
         size = self.size[ids]
-        data = self.data[_spans(self.start[ids], size)]
+        data = _gather(self.data, self.start[ids], size)
         ends = np.concatenate([[0], np.cumsum(size)])[offsets]
         if self.prefix and len(data):
-            full = ends[:-1] < ends[1:]
-            spaced = ends[:-1][full]
-            spaced = spaced[data[spaced] == ord(" ")]
-            kept = np.ones(len(data), bool)
-            kept[spaced] = False
-            ends = np.concatenate([[0], np.cumsum(kept)])[ends]
-            data = data[kept]
+            spaced = ends[:-1] < ends[1:]
+            spaced[spaced] = data[ends[:-1][spaced]] == ord(" ")
+            data = np.delete(data, ends[:-1][spaced])
+            ends = ends - np.concatenate([[0], np.cumsum(spaced)])
         wide = ends[-1] >= 2**31
         kind, width = (pa.large_string(), np.int64) if wide else (pa.string(), np.int32)
         parts = [None, pa.py_buffer(ends.astype(width)), pa.py_buffer(np.ascontiguousarray(data))]
@@ -409,7 +413,7 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", out: str = "i
         encoder = Encoder(shared.value)
         return lambda texts: [_lists(*encoder.encode_all(texts))]
 
-    return add_columns(docs, text, f"{out} array<int>", kernel)
+    return add_columns(docs, text, f"{out} array<int>", kernel, PART_BYTES)
 
 
 def round_trip(docs: DataFrame, model: PieceModel, text: str = "text") -> DataFrame:
@@ -428,4 +432,4 @@ def round_trip(docs: DataFrame, model: PieceModel, text: str = "text") -> DataFr
 
         return run
 
-    return add_columns(docs, text, "ids array<int>, decoded string", kernel)
+    return add_columns(docs, text, "ids array<int>, decoded string", kernel, PART_BYTES)

@@ -29,6 +29,20 @@ def local_session(cpus: int | str = 8, app: str = "blockloom", memory: str = "12
     return spark
 
 
+# Bytes that Spark gathers for a Python worker at a time. Both sides hold a batch twice, for every core.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Have Spark cut Arrow batches by their bytes as well as by rows, unless the session has a limit of its own.
+
+    Ten thousand texts, the limit that is there without, may be of any size.
+    """
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit, None) is None:
+        spark.conf.set(limit, str(BATCH_BYTES))
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the cluster's shared ``spark.checkpoint.dir``.
 
