@@ -18,7 +18,7 @@ from ..operators import packing as P
 from ..operators import reports as R
 from ..operators import tokens as T
 from ..schemas import SPECIALS
-from ..session import scratch_dir, stored
+from ..session import bounded_batches, scratch_dir, stored
 from ..sources import prepared as S
 from ..sources import readers
 from ..streaming import carry, live
@@ -52,6 +52,7 @@ def _text(array: str) -> Column:
 
 
 def _vocab(spark: SparkSession, sf: str):
+    bounded_batches(spark)
     return T.load_vocab(T.build_vocab(V.spread_docs(spark, sf), VOCAB_SIZE))
 
 
@@ -61,6 +62,7 @@ def _packed(spark: SparkSession, sf: str, block: int = BLOCK, rows: int = ROWS)
 
 def _totals(spark: SparkSession, sf: str, rows: int = ROWS) -> DataFrame:
     """Token counts per batch; stored, so that the texts are read once."""
+    bounded_batches(spark)
     placed = readers.spread(P.assign_batches(V.docs(spark, sf), "doc_id", SHARDS, rows), "doc_id")
     # Start and end ids count as tokens.
     counted = placed.select(*P.GROUP, (T.count_tokens(F.col("text")) + 2).alias("n_tokens"))

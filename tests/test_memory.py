@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from blockloom.llm import sentencepiece_codec as codec
+from blockloom.plans import catalog
 from blockloom.session import BATCH_BYTES, bounded_batches
 
 LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -49,6 +50,14 @@ def test_pipeline_stage_bounds_batches_by_bytes(no_limit, tmp_path):
     assert size <= BATCH_BYTES + 100_000 and n == 1000
 
 
+@pytest.mark.parametrize("step", [catalog._vocab, catalog._totals])
+def test_token_queries_bound_batches_by_bytes(no_limit, tmp_path, step):
+    _documents(no_limit, tmp_path)
+    step(no_limit, str(tmp_path))
+    size, n = _largest_batch(no_limit)
+    assert size <= BATCH_BYTES + 100_000 and n == 1000
+
+
 def test_limit_of_the_session_stays(no_limit):
     no_limit.conf.set(LIMIT, "1000000")
     bounded_batches(no_limit)
