@@ -36,6 +36,8 @@ SEQUENCE = 2048
 BATCH = 128
 # Words, and letters of words, that a worker remembers the ids of: about 200 bytes each.
 MEMO_WORDS = 600_000
+# Letters that were not met since so many others came are forgotten; at most twice as many are held.
+MEMO_LETTERS = 300_000
 MANIFEST = "part int, ids_file string, docs_file string, n_docs long, n_tokens long"
 
 
@@ -71,6 +73,8 @@ class FastTokenizer:
             and spec["model"].get("type") == "BPE"
             and not spec["model"].get("dropout")
         )
+        # Tokens that were added to the model are found before words are cut.
+        self.lines = not any("\n" in t["content"] for t in spec.get("added_tokens") or ())
         self.model = self.tokenizer.model
         # The byte alphabet of the library: printable bytes stand for themselves.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -79,23 +83,53 @@ class FastTokenizer:
         self.plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
         self.odd = re.compile(" (?![!-~À-ɏ])")
         self.cut = re.compile("(?= [!-~À-ɏ])")
-        self.space = chr(self.alphabet[32])
+        self.space, self.line = chr(self.alphabet[32]), chr(self.alphabet[10])
         self.code = {2: "H", 4: "I"}[np.dtype(dtype).itemsize]
         self.memo: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
 
     def _piece(self, letters: str) -> bytes:
         """Ids of a space and letters; many words are the same letters with other marks behind them."""
         found = self.pieces.get(letters)
         if found is None:
-            if letters.isascii():
-                shown = self.space + letters
-            else:
-                shown = self.space + letters.encode().decode("latin-1").translate(self.alphabet)
-            found = self.pieces[letters] = array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
+            found = self.before.get(letters)
+            if found is None:
+                found = self._ids(self.space, letters)
+            self._remember(letters, found)
         return found
 
+    def _ids(self, before: str, letters: str) -> bytes:
+        shown = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.alphabet)
+        return array(self.code, [t.id for t in self.model.tokenize(before + shown)]).tobytes()
+
+    def _lines(self, word: str) -> bytes | None:
+        """Ids of a space and a word with line breaks, if each is a single one before letters: it is a piece of its own."""
+        out = b""
+        for i, line in enumerate(word.split("\n")):
+            found = self.plain.fullmatch(line)
+            if found is None:
+                return None
+            letters, marks = found.groups()
+            if i:
+                key = "\n" + letters
+                known = self.pieces.get(key)
+                if known is None:
+                    known = self.before.get(key) or self._ids(self.line, "") + self._ids("", letters)
+                    self._remember(key, known)
+                out += known
+            else:
+                out = self._piece(letters)
+            if marks:
+                out += self._mark(marks)
+        return out
+
+    def _remember(self, letters: str, ids: bytes) -> None:
+        if len(self.pieces) >= MEMO_LETTERS:
+            self.before, self.pieces = self.pieces, {}
+        self.pieces[letters] = ids
+
     def _mark(self, marks: str) -> bytes:
         found = self.marks.get(marks)
         if found is None:
@@ -110,9 +144,16 @@ class FastTokenizer:
         """Put the ids of words, each with a space before it, into the memo."""
         rest, memo, piece, plain = [], self.memo, self._piece, self.plain.fullmatch
         for w in words:
+            if w.isascii() and w.isalpha():
+                memo[w] = piece(w)
+                continue
             found = plain(w)
             if found is None:
-                rest.append(w)
+                ids = self._lines(w) if self.lines and "\n" in w else None
+                if ids is None:
+                    rest.append(w)
+                else:
+                    memo[w] = ids
                 continue
             letters, marks = found.groups()
             memo[w] = piece(letters) + self._mark(marks) if marks else piece(letters)
@@ -133,16 +174,31 @@ class FastTokenizer:
             rest.append(words)
         words = set().union(*rest)
         if len(self.memo) + len(words) > MEMO_WORDS:
-            self.memo.clear()
             # Letters outlive their words: they make learning the words again cheap.
-            for memo in (self.pieces, self.marks):
-                if len(memo) + len(words) > MEMO_WORDS:
-                    memo.clear()
+            self.memo.clear()
+            if len(self.marks) + len(words) > MEMO_WORDS:
+                self.marks.clear()
         self._learn(words.difference(self.memo))
         get = self.memo.__getitem__
         return [head + b"".join(map(get, words)) for head, words in zip(self._whole(first), rest)]
 
 
+class SharedTokenizer:
+    """A serialized tokenizer that goes to the executors once. A worker loads it at its first task and keeps it,
+    with the words that it has learned, for the later ones."""
+
+    def __init__(self, content: str, dtype):
+        self.content, self.dtype, self.loaded = content, dtype, None
+
+    def __getstate__(self):
+        return self.__dict__ | {"loaded": None}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if self.loaded is None:
+            self.loaded = FastTokenizer(self.content, self.dtype)
+        return self.loaded.encode(texts)
+
+
 class _Writer:
     """One file of sequences: ids come in, whole record batches go out."""
 
@@ -214,7 +270,7 @@ def write_token_files(
     numbered = ordered.select(F.spark_partition_id().alias("part"), "k", "t")
     root = path.rstrip("/")
     # A tokenizer file has a fixed size; it is sent once per executor.
-    shared = spark.sparkContext.broadcast(tokenizer)
+    shared = spark.sparkContext.broadcast(SharedTokenizer(tokenizer, dtype))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, writer, n_docs = None, None, 0
@@ -223,7 +279,6 @@ def write_token_files(
             for some in parts(batch, 2):
                 if writer is None:
                     part, attempt = some.column(0)[0].as_py(), uuid.uuid4().hex
-                    encoder = FastTokenizer(shared.value, dtype)
                     fs, base = open_fs(root)
                     fs.create_dir(base)
                     names = [f"{kind}-{part:05d}-{attempt}.arrow" for kind in ("ids", "docs")]
@@ -231,7 +286,7 @@ def write_token_files(
                     places = fs.open_output_stream(f"{base}/{names[1]}")
                     kind = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int64())])
                     index = pa.ipc.new_file(places, kind)
-                encoded = encoder.encode([t or "" for t in some.column(2).to_pylist()])
+                encoded = shared.value.encode([t or "" for t in some.column(2).to_pylist()])
                 lengths = np.array([len(x) for x in encoded], np.int64) // np.dtype(dtype).itemsize + 1
                 first = writer.total + np.cumsum(lengths) - lengths
                 for ids in encoded:

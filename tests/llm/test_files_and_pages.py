@@ -1,5 +1,6 @@
 """Token files, rollups, page extraction, the pipeline and the registered queries."""
 
+import pickle
 import zlib
 
 import numpy as np
@@ -64,6 +65,26 @@ def test_words_are_tokenized_like_texts(tokenizer):
     assert got == [plain.encode(c, add_special_tokens=False).ids for c in cases]
 
 
+def test_words_around_line_breaks_are_put_together(tokenizer, monkeypatch):
+    monkeypatch.setattr(token_files, "MEMO_LETTERS", 3)
+    plain, fast, asked = Tokenizer.from_str(tokenizer), token_files.FastTokenizer(tokenizer, "uint32"), []
+    whole = fast._whole
+    monkeypatch.setattr(fast, "_whole", lambda texts: asked.extend(texts) or whole(texts))
+    cases = ["x end.\nThe first,\nÉté one\ntwo end.", "x\ny a.\nThe\n b\n\nc d\r\ne f\n'ss g\n1 end.\nThe"]
+    for _ in range(2):
+        got = [np.frombuffer(b, np.uint32).tolist() for b in fast.encode(cases)]
+        assert got == [plain.encode(c, add_special_tokens=False).ids for c in cases]
+    assert " end.\nThe" not in asked and " first,\nÉté" not in asked
+
+
+def test_a_worker_keeps_the_tokenizer_for_later_tasks(tokenizer):
+    shared = pickle.loads(pickle.dumps(token_files.SharedTokenizer(tokenizer, "uint16")))
+    first = shared.encode(["a b\nc"])
+    loaded = shared.loaded
+    assert shared.encode(["a b\nc"]) == first and shared.loaded is loaded
+    assert pickle.loads(pickle.dumps(shared)).loaded is None
+
+
 CHANGES = "action string, doc_id long, source string, lang string, tokenizer_version string, n_tokens long"
 
 
