@@ -36,7 +36,7 @@ BLOCK_MASK = (1 << WIDTH) - 1
 # Homes at one anchor beyond which it is split.
 HOT_HOMES = 20_000
 # Pairs compared at a time.
-CHUNK_PAIRS = 1 << 21
+CHUNK_PAIRS = 1 << 18
 CHUNK_SHINGLES = 1 << 16
 
 

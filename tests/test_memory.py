@@ -2,11 +2,13 @@
 
 import tracemalloc
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from blockloom.llm import jaccard, simhash
 from blockloom.llm import sentencepiece_codec as codec
 from blockloom.plans import catalog
 from blockloom.session import BATCH_BYTES, bounded_batches
@@ -76,3 +78,21 @@ def test_decoding_takes_a_few_bytes_for_each_of_the_text():
     tracemalloc.stop()
     assert decoded.to_pylist() == [t.replace("▁", " ") for t in texts]
     assert peak < 12 * len(texts[0])
+
+
+@pytest.mark.parametrize("work", ["first", "open", "forest"])
+def test_pairs_of_a_large_group_are_held_a_few_at_a_time(work):
+    n = 2_500
+    same, ids = np.zeros(n, np.int64), np.arange(n)
+    sketch = np.array([jaccard.odd_sketch(np.arange(120, dtype=np.uint64) * np.uint64(977) + np.uint64(i % 7)) for i in range(n)], object)
+    made = {
+        "first": lambda: jaccard._first(same, same, same, ids, same + 120, same, sketch),
+        "open": lambda: jaccard._open(same, same, same, ids, same + 120, same, ids % 40, sketch),
+        "forest": lambda: [simhash._forest(same, same, ids << 20, 3)],
+    }[work]
+    tracemalloc.start()
+    count = sum(len(part[0]) for part in made())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert count
+    assert peak < 45e6
